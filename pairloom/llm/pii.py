@@ -6,7 +6,7 @@ running sums of both lengths give code point positions, all within the row.
 
 1. Base: the four formats with their checks.  These spans always stay.
 2. Candidates: base formats that fail their check, and looser formats, sought where no
-   base format matched: spelled-out addresses, other groupings, addresses of other kinds.
+   base span is: spelled-out addresses, other groupings, addresses of other kinds.
 3. Trees: boosted on about a thousand sentences made from a seed (``training_texts``),
    whose candidates get their features from the same expressions as the corpus; they
    come back as nested CASE expressions.  Scores are calibrated on held-out sentences,
@@ -116,10 +116,11 @@ def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds __base (checked base spans with k, s, e) and __more (all other candidates with features)."""
     rows = _matches(rows, text, BASE, "__base")
     any_base = "|".join(f"(?:{p})" for p in BASE.values())
-    # looser formats are sought in the text with all that matched a base format blanked out
+    # looser formats are sought in the text with all that passed as a base format blanked out
+    passed = f"(instr(m, '@') > 0 or {CHECK['ip']} or (m rlike '^[0-9 -]+$' and {CHECK['card']}) or (m like '+%' and {CHECK['phone']}))"
     found = " or ".join(f"size(__base_{k}) > 0" for k in KINDS)
     rows = rows.select("*", F.expr(f"if({found}, split({text}, {_sql(any_base)}, -1), null)").alias("__gaps"), F.expr(f"if({found}, regexp_extract_all({text}, {_sql(any_base)}, 0), null)").alias("__hits"))
-    rows = rows.withColumn("__rest", F.expr(f"if(__gaps is null, {text}, array_join(zip_with(__gaps, __hits, (g, m) -> concat(g, coalesce(repeat('\\u0001', length(m)), ''))), ''))"))
+    rows = rows.withColumn("__rest", F.expr(f"if(__gaps is null, {text}, array_join(zip_with(__gaps, __hits, (g, m) -> concat(g, coalesce(if({passed}, repeat('\\u0001', length(m)), m), ''))), ''))"))
     rows = _matches(rows.drop("__gaps", "__hits"), "__rest", LOOSE, "__loose")
     every = [_featured(f"__base_{k}", k, 0) for k in KINDS] + [_featured(f"__loose_{k}", k, 1) for k in KINDS]
     rows = rows.select("*", F.expr(f"concat({', '.join(every)})").alias("__all"))
