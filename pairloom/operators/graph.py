@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.plans.staging import stage
 
+#: Up to so many edges are settled in one task, in about 50 bytes each; more take rounds of joins.
+ONE_TASK = 1_000_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All (node, root) of the edges (u, v) at hand: least labels spread along edges, with pointer jumping."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (u, v):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)  # the root of a tree follows its members
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for k in range(0, len(nodes), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 50_000]), pa.array(nodes[label[k : k + 50_000]])], names=["node", "root"])
+
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph as (node, root), root being the smallest node reached.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """Components of an undirected graph as (node, root), root being the smallest node reached; nodes are longs.
 
     Alternates the large-star and small-star rewirings (Kiveris et al., 2014): every
     round is two aggregations with map-side combining and two equi-joins that
@@ -21,13 +51,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Nothing is collected but a count and a checksum per round, which tell when the
     table of edges no longer changes.  Each round is a table in the shared folder.
 
+    A table of at most ``ONE_TASK`` edges (counted first) is settled by a single task on an
+    executor instead, which spares small inputs the rounds.
+
     Self-loops and edges with a null end are ignored; nodes without an edge don't
     appear; repeated edges count once; an empty table gives an empty result.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     e = stage(e.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") > F.col("v"))).distinct(), "edges")
     seen = _signature(e)
-    for _ in range(max_rounds if seen[0] else 0):
+    if seen[0] <= one_task:
+        return e.coalesce(1).mapInArrow(_settle, "node long, root long")
+    for _ in range(max_rounds):
         # large star: every larger neighbour of a node goes to the smallest node around it
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -41,7 +76,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         seen = now
     else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
