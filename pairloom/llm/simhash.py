@@ -115,7 +115,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         if keys:
             yield verified(np.concatenate(keys), np.concatenate(fps))
 
-    return postings.mapInArrow(scan, "src long, dst long").distinct()
+    return postings.mapInArrow(scan, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

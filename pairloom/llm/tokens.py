@@ -41,13 +41,15 @@ class SegmentTokenizer:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
 
-    def _learn(self, segments: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+    def _led(self, segment: str) -> str:
+        return segment if segment[:1] == "\n" else self.lead + segment
+
+    def _learn(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of segments that aren't known yet: those without the sentinel in one call, between sentinels."""
         found: dict[str, bytes] = {}
-        plain = [s for s in segments if _SENTINEL not in s] if self.mark is not None and lead == self.lead else []
+        plain = [s for s in segments if _SENTINEL not in s] if self.mark is not None else []
         if plain:
-            between = f" {_SENTINEL} " if not lead else f"{lead}{_SENTINEL}{lead}"
-            ids = self._encode(lead + between.join(plain))
+            ids = self._encode(f" {_SENTINEL}{'' if self.lead else ' '}".join(map(self._led, plain)))
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(plain) - 1:
                 raw, size = ids.tobytes(), ids.itemsize
@@ -55,20 +57,23 @@ class SegmentTokenizer:
                 found = {s: raw[i:j] for s, i, j in zip(plain, [0, *(e + size for e in ends)], [*ends, len(raw)])}
         for s in segments:
             if s not in found:
-                found[s] = self._encode(lead + s).tobytes()
+                found[s] = self._encode(self._led(s)).tobytes()
         for s, b in found.items():
-            if len(known) >= self.limit:
+            if len(self.later) >= self.limit:
                 break
             if len(s) <= 64:
-                known[s] = b
+                self.later[s] = b
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text, as an array of the vocabulary's width."""
         if not text:
             return np.empty(0, dtype=self.width)
-        uneven = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _RARE_SPACE.search(text)
-        parts = _BREAK.split(text) if uneven else text.split(" ")
+        edge = text[0] + text[-1]
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in edge or "\n" in edge or _RARE_SPACE.search(text):
+            parts = _BREAK.split(text)
+        else:  # single spaces and single line ends only: a line's first segment keeps its line end
+            parts = text.replace("\n", " \n").split(" ")
         head = self.first.get(parts[0])
         if head is None:
             head = self._encode(parts[0]).tobytes()
@@ -78,7 +83,7 @@ class SegmentTokenizer:
         got = list(map(self.later.get, rest))
         if None in got:
             gaps = [i for i, b in enumerate(got) if b is None]
-            new = self._learn(list(dict.fromkeys(rest[i] for i in gaps)), self.lead, self.later)
+            new = self._learn(list(dict.fromkeys(rest[i] for i in gaps)))
             for i in gaps:
                 got[i] = new[rest[i]]
         return np.frombuffer(b"".join([head, *got]), dtype=self.width)
