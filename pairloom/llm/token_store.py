@@ -53,7 +53,7 @@ def _slot(h: int, d: int, n: int) -> int:
 def build_index(keys: list[bytes], offsets: list[int], counts: list[int]) -> tuple[bytes, bytes]:
     """Displacements (the seed first) and slots of distinct keys."""
     n = len(keys)
-    buckets = max(1, -(-n // 4))
+    buckets = max(1, n)
     for seed in range(64):
         hashed = [_hash(k, seed) for k in keys]
         held: list[list[int]] = [[] for _ in range(buckets)]

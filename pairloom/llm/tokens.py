@@ -2,7 +2,7 @@
 
 Most of a corpus is the same few hundred thousand words, so each worker keeps the
 ids of the segments it has met.  A segment starts at a single space between two
-characters that aren't white space: both kinds of tokenizer used here break there
+characters that aren't white space (at any, where ``lead`` is empty): both kinds of tokenizer used here break there
 whatever stands around, so the ids of a text are those of its segments in turn.
 """
 
@@ -37,6 +37,8 @@ class SegmentTokenizer:
         self.later: dict[str, bytes] = {}
         mark = self.tokenizer.encode(lead + _SENTINEL, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.tails = {c: self._encode(c).tobytes() for c in ".,"}
+        self.lowers = self._encode("AB").tobytes() == self._encode("ab").tobytes()
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
@@ -46,6 +48,13 @@ class SegmentTokenizer:
 
     def _learn(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of segments that aren't known yet: those without the sentinel in one call, between sentinels."""
+        # a word and the mark after it are always tokenised apart
+        marked = {s: s[:-1] for s in segments if s[-1:] in self.tails and s[:-1].isalpha()}
+        if marked:
+            known = {w: b for w in marked.values() if (b := self.later.get(w)) is not None}
+            rest = dict.fromkeys(w for s in segments if (w := marked.get(s, s)) not in known)
+            known |= self._learn(list(rest)) if rest else {}
+            return {s: known[marked[s]] + self.tails[s[-1]] if s in marked else known[s] for s in segments}
         found: dict[str, bytes] = {}
         plain = [s for s in segments if _SENTINEL not in s] if self.mark is not None else []
         if plain:
@@ -69,8 +78,10 @@ class SegmentTokenizer:
         """All ids of a text, as an array of the vocabulary's width."""
         if not text:
             return np.empty(0, dtype=self.width)
-        edge = text[0] + text[-1]
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in edge or "\n" in edge or _RARE_SPACE.search(text):
+        rare, edge = _RARE_SPACE.search(text), text[0] + text[-1]
+        if not self.lead and not rare:  # white space leaves nothing behind, and nor does case
+            parts = (text.lower() if text.isascii() and self.lowers else text).split() or [""]
+        elif rare or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in edge or "\n" in edge:
             parts = _BREAK.split(text)
         else:  # single spaces and single line ends only: a line's first segment keeps its line end
             parts = text.replace("\n", " \n").split(" ")
