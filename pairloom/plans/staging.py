@@ -32,3 +32,10 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Spark cut what it sends to Python by bytes as well as rows, unless the session says otherwise: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
