@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.plans.staging import bound_batches
+
 DIM = 4096
 #: Characters counted at a time: bounds the memory of one very long text.
 _BLOCK = 1 << 20
@@ -109,6 +111,7 @@ def fit(docs: DataFrame, use: Column, per_language: int = 400, clusters: int = 3
     ``slack``: a centroid's radius is the largest distance of its own training texts plus
     this part of what is left up to 1, so that only texts far from anything known go.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), use.alias("use"))
     rows = rows.where("use and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -155,6 +158,7 @@ def fit(docs: DataFrame, use: Column, per_language: int = 400, clusters: int = 3
 def predict(docs: DataFrame, model: CentroidModel, text: str = "text", to: str = "prediction") -> DataFrame:
     """All columns of ``docs`` and ``to``: struct of lang_pred, score and rejected."""
 
+    bound_batches(docs.sparkSession)
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.plans.staging import bound_batches
+
 # Element ids of the Matroska specification (RFC 9559).
 EBML, DOC_TYPE, VERSION, READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
@@ -268,6 +270,7 @@ def describe(parsed: Parsed, payload: bytes) -> str:
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every document's text as a Matroska file; null texts as empty ones."""
 
+    bound_batches(docs.sparkSession)
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -281,6 +284,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 def packet_table(media: DataFrame) -> DataFrame:
     """(doc_id, track, cluster, block, timestamp_ns, start, size, keyframe) of every packet of a media column; null media have none."""
 
+    bound_batches(media.sparkSession)
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "track", "cluster", "block", "timestamp_ns", "start", "size", "keyframe"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -296,6 +300,7 @@ def packet_table(media: DataFrame) -> DataFrame:
 def measure(media: DataFrame) -> DataFrame:
     """Digests and features of a stored media column (doc_id, n_bytes, media), from its bytes alone."""
 
+    bound_batches(media.sparkSession)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

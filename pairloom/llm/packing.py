@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom.llm.tokens import worker_tokenizer
-from pairloom.plans.staging import stage
+from pairloom.plans.staging import bound_batches, stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,6 +37,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, lead: str, end_id: int, ca
     Documents over ``capacity`` are cut from the end, so that only the first piece is shorter.
     """
 
+    bound_batches(docs.sparkSession)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer, lead)
         for batch in batches:

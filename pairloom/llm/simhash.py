@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.graph import connected_components
-from pairloom.plans.staging import stage
+from pairloom.plans.staging import bound_batches, stage
 
 #: Shingles hashed at a time: bounds the memory that one very long text takes.
 _BLOCK = 1 << 16
@@ -50,6 +50,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp), fp being the fingerprint's bits as a signed long; nulls as empty texts (0)."""
 
+    bound_batches(docs.sparkSession)
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fps = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.plans.staging import stage
+from pairloom.plans.staging import bound_batches, stage
 
 #: (seed, stretch) name a compacted stretch; it covers ``n`` windows from word ``start`` of the text ``text_hash`` of doc_id.
 #: ``settled``: 1 if the batch itself has it in a smaller document.
@@ -115,6 +115,7 @@ def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
 

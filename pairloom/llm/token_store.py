@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.tokens import worker_tokenizer
-from pairloom.plans.staging import new_path
+from pairloom.plans.staging import bound_batches, new_path
 
 SHARD = "part int, shard int, lo long, hi long, start long, n_docs int, n_ids long, width int, keys binary, displace binary, slots binary, payload binary"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("count", "<u8")])
@@ -104,6 +104,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, lead: str, end_id: i
     tokenised once, before the only shuffle, and what is shuffled are ids.  Null doc_ids
     come first, null texts are empty, rows of one doc_id are ordered by their ids.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = min(20_000, max(8, docs.count() // docs_per_part))

@@ -27,6 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.plans.staging import bound_batches
+
 #: Terms for groups of people; each is swapped for the next one of its row.
 IDENTITY_TERMS = (
     ("he", "she"), ("him", "her"), ("his", "hers"), ("man", "woman"), ("men", "women"), ("boy", "girl"), ("boys", "girls"),
@@ -166,6 +168,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", max_rows: int = 8000, **options) -> ToxicityModel:
     """Learn ``label`` from labelled rows where ``use`` (over doc_id) holds, about ``max_rows`` of them."""
+    bound_batches(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null").where(use)
     n = marked.count()
     part = min(1.0, max_rows / max(1, n))
@@ -190,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", m
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``to``: the score, 0 to 1."""
 
+    bound_batches(docs.sparkSession)
     @F.arrow_udf("double")
     def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
