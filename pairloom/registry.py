@@ -1,17 +1,171 @@
-"""Queries registered by the library's own operators."""
+"""Queries registered by the library's own operators, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pairloom.functions import columns as C
+from pairloom.operators import linkage as L, mcmc, patterns as P
 
 FLAGSHIP = "patterns_customer_supplier"
+NLEVELS = [4, 3]
+#: Probabilities used where a query takes them as given, by field and level.
+P_M = [[0.9, 0.05, 0.03, 0.02], [0.6, 0.3, 0.1]]
+P_U = [[0.01, 0.04, 0.25, 0.7], [0.1, 0.3, 0.6]]
+_LOG = [[np.log(m / u) for m, u in zip(a, b)] for a, b in zip(P_M, P_U)]
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers of one nation (the block), compared by the number in the name and by balance (missing if negative)."""
+    number = lambda c: F.regexp_replace(c, "^[^#]*#0*", "")
+    a = _t(spark, d, "customer").select("c_custkey", "c_nationkey", number("c_name").alias("a_no"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("a_bal"))
+    b = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", number("s_name").alias("b_no"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("b_bal"))
+    both = a.join(b, F.col("c_nationkey") == F.col("s_nationkey"))
+    return P.compare(both, "c_custkey", "s_suppkey", [C.ordinal_level(F.col("a_no"), F.col("b_no")), C.distance_level(F.col("a_bal"), F.col("b_bal"), (100.0, 1000.0))])
+
+
+def _weights(spark, d, penalty=None):
+    return P.pair_weights(pairs(spark, d), P_M, P_U, penalty)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _links(spark, d, k: int) -> DataFrame:
+    return _t(spark, d, "orders").select(F.col("o_custkey").alias("row_id"), (F.col("o_orderkey") % k).alias("col_id")).distinct()
+
+
+def _trace(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select((F.col("user_id") % 50).alias("row_id"), F.length("event_type").cast("long").alias("col_id"), (F.col("event_id") % 100 + 1).cast("int").alias("start"), (F.col("event_id") % 100 + 1 + F.col("event_id") % 7).cast("int").alias("stop"))
+
+
+def _em(spark, d):
+    fit = P.estimate_em(P.patterns(pairs(spark, d)), np.concatenate(P_M), np.concatenate(P_U), 0.01, NLEVELS)
+    at = [(k + 1, v + 1) for k, n in enumerate(NLEVELS) for v in range(n)]
+    return spark.createDataFrame([(f, v, float(m), float(u)) for (f, v), m, u in zip(at, fit["p_m"], fit["p_u"])], "field int, level int, p_m double, p_u double")
+
+
+def _path(spark, d):
+    one = np.full(sum(NLEVELS), 1.01)
+    found = L.penalized_path(pairs(spark, d), NLEVELS, np.concatenate(P_M), np.concatenate(P_U), one, one, mininc=2.0, max_steps=4, max_iter=5)
+    return spark.createDataFrame([(float(f["penalty"]), f["links"].count(), f["iterations"]) for f in found], "penalty double, n_links long, iterations int")
+
+
+def _mcmc(spark, d):
+    at = L.bipartite_components(_weights(spark, d, 3.0)).select("row_id", "col_id", "label")
+    inside = pairs(spark, d).join(at, ["row_id", "col_id"])
+    totals = L._level_vector(P.level_counts(P.patterns(pairs(spark, d)), NLEVELS), NLEVELS)
+    n = inside.select("row_id").distinct().count()
+    return mcmc.sample(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2)
+
+
+def _sensitivity(spark, d):
+    w = _weights(spark, d).cache()
+    cuts = [0.5, 2.5, 4.5]
+    out = None
+    for t in cuts:
+        one = L.summarise(L.component_sizes(L.bipartite_components(w.where(F.col("w") > t)))).withColumn("threshold", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PAIRS = """WITH a AS (SELECT c_custkey, c_nationkey, regexp_replace(c_name, '^[^#]*#0*', '') AS x, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS p FROM customer),
+ b AS (SELECT s_suppkey, s_nationkey, regexp_replace(s_name, '^[^#]*#0*', '') AS y, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS q FROM supplier),
+ s AS (SELECT c_custkey AS row_id, s_suppkey AS col_id, 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE AS sim, abs(p - q) AS gap FROM a JOIN b ON c_nationkey = s_nationkey),
+ pairs AS (SELECT row_id, col_id, CASE WHEN sim >= 1 THEN 1 WHEN sim >= 0.75 THEN 2 WHEN sim >= 0.5 THEN 3 ELSE 4 END AS g1,
+                  CASE WHEN gap IS NULL THEN 0 WHEN gap < 100 THEN 1 WHEN gap < 1000 THEN 2 ELSE 3 END AS g2 FROM s)"""
+_CASE = " + ".join(f"CASE g{k + 1} " + " ".join(f"WHEN {v + 1} THEN {x!r}e0" for v, x in enumerate(map(float, row))) + " ELSE 0 END" for k, row in enumerate(_LOG))
+_WEIGHTS = f"{_PAIRS}, w AS (SELECT row_id, col_id, {_CASE} AS w FROM pairs)"
+_TRACE = "WITH t AS (SELECT user_id % 50 AS row_id, length(event_type) AS col_id, event_id % 100 + 1 AS start, event_id % 100 + 1 + event_id % 7 AS stop FROM events)"
+_L = "SELECT DISTINCT o_custkey AS row_id, o_orderkey % {} AS col_id FROM orders"
+_COMPONENTS = f"""{_WEIGHTS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT * FROM w WHERE w > 3),
+ c AS (SELECT row_id, row_id AS label FROM e UNION SELECT f.row_id, c.label FROM c JOIN e ON c.row_id = e.row_id JOIN e f ON e.col_id = f.col_id),
+ l AS (SELECT row_id, min(label) AS label FROM c GROUP BY row_id)"""
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    FLAGSHIP: (
+        lambda s, d: P.patterns(pairs(s, d)).select("pattern_id", F.array_join(F.transform("gamma", lambda g: g.cast("string")), "|").alias("gamma"), "n"),
+        f"{_PAIRS} SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, g1 || '|' || g2 AS gamma, count(*) AS n FROM pairs GROUP BY g1, g2",
+    ),
+    "level_counts": (
+        lambda s, d: P.level_counts(P.patterns(pairs(s, d)), NLEVELS),
+        f"{_PAIRS}, v AS (SELECT 1 AS field, unnest(range(1, 5)) AS level UNION ALL SELECT 2, unnest(range(1, 4))) SELECT field, level, (SELECT count(*) FROM pairs WHERE CASE field WHEN 1 THEN g1 ELSE g2 END = level) AS n FROM v",
+    ),
+    "field_counts": (
+        lambda s, d: P.field_counts(P.patterns(pairs(s, d))),
+        f"{_PAIRS} SELECT 1 AS field, count(*) FILTER (g1 > 0) AS n_obs, count(*) FILTER (g1 = 0) AS n_missing FROM pairs UNION ALL SELECT 2, count(*) FILTER (g2 > 0), count(*) FILTER (g2 = 0) FROM pairs",
+    ),
+    "pair_weights": (lambda s, d: _rounded(_weights(s, d), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w, 6) AS w FROM w"),
+    "penalized_weights": (lambda s, d: _rounded(_weights(s, d, 3.0), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w - 3, 6) AS w FROM w WHERE w > 3"),
+    "posterior": (
+        lambda s, d: _weights(s, d).select("row_id", "col_id", F.round(C.posterior(F.col("w"), 0.01), 6).alias("p")),
+        f"{_WEIGHTS} SELECT row_id, col_id, round(1 / (1 + exp(-(ln(0.01 / 0.99) + w))), 6) AS p FROM w",
+    ),
+    "costs_shrunk": (
+        lambda s, d: _rounded(P.costs(_weights(s, d), shrunk=True), "cost"),
+        f"{_WEIGHTS}, k AS (SELECT row_id, col_id, (SELECT greatest(max(w), 0) FROM w) - greatest(w, 0) AS cost FROM w) SELECT row_id, col_id, round(cost - min(cost) OVER (PARTITION BY row_id), 6) AS cost FROM k",
+    ),
+    "merge_candidates": (
+        lambda s, d: P.merge_candidates(pairs(s, d).where("row_id % 3 <> 0"), pairs(s, d).where("row_id % 2 = 0"))[0].select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
+        f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 3 <> 0 UNION SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 2 = 0",
+    ),
+    "components": (lambda s, d: L.bipartite_components(_weights(s, d, 3.0)).select("row_id", "col_id", "label"), f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
+    "component_summary": (
+        lambda s, d: L.summarise(L.component_sizes(L.bipartite_components(_weights(s, d, 3.0)))),
+        f"""{_COMPONENTS}, z AS (SELECT label, count(DISTINCT e.row_id) AS r, count(DISTINCT col_id) AS c FROM e JOIN l ON e.row_id = l.row_id GROUP BY label)
+        SELECT coalesce(sum(r * c), 0)::BIGINT AS n_pairs, coalesce(max(r * c), 0) AS max_pairs, coalesce(max(greatest(r, c)), 0) AS max_side, count(*) AS n_components, count(*) FILTER (r = 1 AND c = 1) AS n_singletons FROM z""",
+    ),
+    "blocks": (lambda s, d: L.blocks(_weights(s, d), 30, 0.5, 1.0), None),
+    "assign_hungarian": (lambda s, d: L.assign(_weights(s, d, 2.0)), None),
+    "assign_auction": (lambda s, d: L.assign(_weights(s, d, 2.0), "auction"), None),
+    "threshold_sensitivity": (_sensitivity, None),
+    "em": (_em, None),
+    "penalized_path": (_path, None),
+    "mcmc_trace": (_mcmc, None),
+    "link_level_counts": (
+        lambda s, d: P.link_level_counts(pairs(s, d).where("row_id = col_id").select("row_id", "col_id"), pairs(s, d)),
+        f"{_PAIRS} SELECT 1 AS field, g1 AS level, count(*) AS n FROM pairs WHERE row_id = col_id AND g1 > 0 GROUP BY g1 UNION ALL SELECT 2, g2, count(*) FROM pairs WHERE row_id = col_id AND g2 > 0 GROUP BY g2",
+    ),
+    "links_added": (lambda s, d: L.links_added(_links(s, d, 7), _links(s, d, 5)), f"({_L.format(7)}) EXCEPT ({_L.format(5)})"),
+    "links_removed": (lambda s, d: L.links_removed(_links(s, d, 7), _links(s, d, 5)), f"({_L.format(5)}) EXCEPT ({_L.format(7)})"),
+    "link_difference": (
+        lambda s, d: L.link_difference(_links(s, d, 7), _links(s, d, 5)),
+        f"SELECT *, 'added' AS change FROM (({_L.format(7)}) EXCEPT ({_L.format(5)})) UNION ALL SELECT *, 'removed' FROM (({_L.format(5)}) EXCEPT ({_L.format(7)}))",
+    ),
+    "link_counts": (lambda s, d: L.link_counts(_trace(s, d), 20), f"{_TRACE} SELECT row_id, col_id, sum(stop - greatest(start, 21) + 1)::BIGINT AS n FROM t WHERE stop > 20 GROUP BY ALL"),
+    "step_links": (lambda s, d: L.step_links(_trace(s, d), 40), f"{_TRACE} SELECT row_id, col_id FROM t WHERE start <= 40 AND stop >= 40"),
+    "segment_links": (lambda s, d: L.segment_links(_trace(s, d), 40, 43), f"{_TRACE} SELECT row_id, col_id FROM t WHERE start <= 40 AND stop >= 43"),
+    "group_counts": (
+        lambda s, d: L.group_counts(_trace(s, d), s.range(50).select(F.col("id").alias("row_id"), (F.col("id") % 4).alias("gid"))),
+        f"{_TRACE}, u AS (SELECT row_id % 4 AS gid, unnest(range(start, stop + 1)) AS step FROM t) SELECT step, gid, count(*) AS n FROM u WHERE gid > 0 GROUP BY ALL",
+    ),
+    "bayes_estimate": (
+        lambda s, d: L.bayes_estimate(L.link_counts(_trace(s, d)), 100), f"{_TRACE} SELECT row_id, col_id FROM t GROUP BY ALL HAVING sum(stop - start + 1) > 50",
+    ),
+    "balancing": (
+        lambda s, d: _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(f(F.col("l_discount") * 20 - 1 if "log" in n or n[0] == "l" else F.col("l_discount") + 0.5), 6).alias(n) for n, f in C.BALANCING.items()]),
+        """WITH x AS (SELECT l_orderkey, l_linenumber, l_discount * 20 - 1 AS x, l_discount + 0.5 AS t FROM lineitem) SELECT l_orderkey, l_linenumber, round(sqrt(t), 6) AS sqrt, round(exp(0.5 * x), 6) AS sqrt_logx, round(0.5 * x, 6) AS lsqrt,
+        round(t / (1 + t), 6) AS barker, round(1 / (1 + exp(-x)), 6) AS barker_logx, round(x - ln(1 + exp(x)), 6) AS lbarker, round(least(t, 1), 6) AS min1, round(least(exp(x), 1), 6) AS min1_logx, round(least(x, 0), 6) AS lmin1,
+        round(greatest(t, 1), 6) AS max1, round(greatest(exp(x), 1), 6) AS max1_logx, round(greatest(x, 0), 6) AS lmax1 FROM x""",
+    ),
+    "betabipartite_prior": (
+        lambda s, d: C.betabipartite_table(s, 30, 20, 1.5, 2.0).select("nlink", F.round("logprior", 6).alias("logprior")),
+        "SELECT n AS nlink, round(lgamma(31 - n) - lgamma(31) + lgamma(n + 1.5) + lgamma(22 - n) - lgamma(23.5) - (lgamma(1.5) + lgamma(2) - lgamma(3.5)), 6) AS logprior FROM range(0, 21) r(n)",
+    ),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _Q.items() if sql is not None}
