@@ -83,13 +83,13 @@ def oracle_sql() -> dict[str, str]:
                        FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
             SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g""",
         "op9_substring_dedup": r"""
-            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), x -> x <> '') AS w FROM documents),
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
                  p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
                  h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS k FROM p),
                  m AS (SELECT k, min(doc_id) AS least FROM h GROUP BY k),
                  c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN m USING (k) WHERE doc_id > least),
                  r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
                  x AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-                              CASE WHEN gone IS NULL THEN w ELSE list_filter(w, (y, i) -> NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+                              CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
             SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM x""",
     }
