@@ -139,7 +139,7 @@ def sample(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_p
     """
     totals, prior_m, prior_u, log_prior = (np.asarray(x, dtype=float) for x in (totals, prior_m, prior_u, log_prior))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["label", "row_id", "col_id"])
         row_ids, r = np.unique(pdf["row_id"], return_inverse=True)
         col_ids, c = np.unique(pdf["col_id"], return_inverse=True)

@@ -13,8 +13,8 @@ from pairloom.operators import linkage as L, mcmc, patterns as P
 FLAGSHIP = "patterns_customer_supplier"
 NLEVELS = [4, 3]
 #: Probabilities used where a query takes them as given, by field and level.
-P_M = [[0.9, 0.05, 0.03, 0.02], [0.6, 0.3, 0.1]]
-P_U = [[0.01, 0.04, 0.25, 0.7], [0.1, 0.3, 0.6]]
+P_M = [[0.6, 0.1, 0.2, 0.1], [0.6, 0.3, 0.1]]
+P_U = [[0.01, 0.04, 0.05, 0.9], [0.1, 0.3, 0.6]]
 _LOG = [[np.log(m / u) for m, u in zip(a, b)] for a, b in zip(P_M, P_U)]
 
 
@@ -60,7 +60,7 @@ def _path(spark, d):
 
 
 def _mcmc(spark, d):
-    at = L.bipartite_components(_weights(spark, d, 3.0)).select("row_id", "col_id", "label")
+    at = L.bipartite_components(_weights(spark, d, 1.0)).select("row_id", "col_id", "label")
     inside = pairs(spark, d).join(at, ["row_id", "col_id"])
     totals = L._level_vector(P.level_counts(P.patterns(pairs(spark, d)), NLEVELS), NLEVELS)
     n = inside.select("row_id").distinct().count()
@@ -86,7 +86,7 @@ _CASE = " + ".join(f"CASE g{k + 1} " + " ".join(f"WHEN {v + 1} THEN {x!r}e0" for
 _WEIGHTS = f"{_PAIRS}, w AS (SELECT row_id, col_id, {_CASE} AS w FROM pairs)"
 _TRACE = "WITH t AS (SELECT user_id % 50 AS row_id, length(event_type) AS col_id, event_id % 100 + 1 AS start, event_id % 100 + 1 + event_id % 7 AS stop FROM events)"
 _L = "SELECT DISTINCT o_custkey AS row_id, o_orderkey % {} AS col_id FROM orders"
-_COMPONENTS = f"""{_WEIGHTS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT * FROM w WHERE w > 3),
+_COMPONENTS = f"""{_WEIGHTS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT * FROM w WHERE w > 1),
  c AS (SELECT row_id, row_id AS label FROM e UNION SELECT f.row_id, c.label FROM c JOIN e ON c.row_id = e.row_id JOIN e f ON e.col_id = f.col_id),
  l AS (SELECT row_id, min(label) AS label FROM c GROUP BY row_id)"""
 
@@ -104,7 +104,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f"{_PAIRS} SELECT 1 AS field, count(*) FILTER (g1 > 0) AS n_obs, count(*) FILTER (g1 = 0) AS n_missing FROM pairs UNION ALL SELECT 2, count(*) FILTER (g2 > 0), count(*) FILTER (g2 = 0) FROM pairs",
     ),
     "pair_weights": (lambda s, d: _rounded(_weights(s, d), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w, 6) AS w FROM w"),
-    "penalized_weights": (lambda s, d: _rounded(_weights(s, d, 3.0), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w - 3, 6) AS w FROM w WHERE w > 3"),
+    "penalized_weights": (lambda s, d: _rounded(_weights(s, d, 1.0), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w - 1, 6) AS w FROM w WHERE w > 1"),
     "posterior": (
         lambda s, d: _weights(s, d).select("row_id", "col_id", F.round(C.posterior(F.col("w"), 0.01), 6).alias("p")),
         f"{_WEIGHTS} SELECT row_id, col_id, round(1 / (1 + exp(-(ln(0.01 / 0.99) + w))), 6) AS p FROM w",
@@ -117,15 +117,15 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         lambda s, d: P.merge_candidates(pairs(s, d).where("row_id % 3 <> 0"), pairs(s, d).where("row_id % 2 = 0"))[0].select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
         f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 3 <> 0 UNION SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 2 = 0",
     ),
-    "components": (lambda s, d: L.bipartite_components(_weights(s, d, 3.0)).select("row_id", "col_id", "label"), f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
+    "components": (lambda s, d: L.bipartite_components(_weights(s, d, 1.0)).select("row_id", "col_id", "label"), f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
     "component_summary": (
-        lambda s, d: L.summarise(L.component_sizes(L.bipartite_components(_weights(s, d, 3.0)))),
+        lambda s, d: L.summarise(L.component_sizes(L.bipartite_components(_weights(s, d, 1.0)))),
         f"""{_COMPONENTS}, z AS (SELECT label, count(DISTINCT e.row_id) AS r, count(DISTINCT col_id) AS c FROM e JOIN l ON e.row_id = l.row_id GROUP BY label)
         SELECT coalesce(sum(r * c), 0)::BIGINT AS n_pairs, coalesce(max(r * c), 0) AS max_pairs, coalesce(max(greatest(r, c)), 0) AS max_side, count(*) AS n_components, count(*) FILTER (r = 1 AND c = 1) AS n_singletons FROM z""",
     ),
     "blocks": (lambda s, d: L.blocks(_weights(s, d), 30, 0.5, 1.0), None),
-    "assign_hungarian": (lambda s, d: L.assign(_weights(s, d, 2.0)), None),
-    "assign_auction": (lambda s, d: L.assign(_weights(s, d, 2.0), "auction"), None),
+    "assign_hungarian": (lambda s, d: L.assign(_weights(s, d, 1.0)), None),
+    "assign_auction": (lambda s, d: L.assign(_weights(s, d, 1.0), "auction"), None),
     "threshold_sensitivity": (_sensitivity, None),
     "em": (_em, None),
     "penalized_path": (_path, None),
