@@ -27,7 +27,7 @@ class SegmentTokenizer:
     first ones met stay, and the others are encoded each time.
     """
 
-    def __init__(self, path: str, lead: str, cache: int = 300_000):
+    def __init__(self, path: str, lead: str, cache: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
