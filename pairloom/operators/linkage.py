@@ -144,9 +144,40 @@ def link_difference(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.where("s <> 0").select("row_id", "col_id", F.when(F.col("s") > 0, "added").otherwise("removed").alias("change"))
 
 
-def link_counts(trace: DataFrame, burnin: int = 0) -> DataFrame:
-    """(row_id, col_id, n): steps after ``burnin`` at which a link stood, from intervals (row_id, col_id, start, stop)."""
-    return trace.where(F.col("stop") > burnin).groupBy("row_id", "col_id").agg(F.sum(F.col("stop") - F.greatest(F.col("start"), F.lit(burnin + 1)) + 1).alias("n"))
+def links_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, one column: whether the two sets have the same links."""
+    return link_difference(a, b).agg((F.count(F.lit(1)) == 0).alias("equal"))
+
+
+def invert_links(links: DataFrame) -> DataFrame:
+    """Links with the two files exchanged."""
+    return links.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"))
+
+
+def add_links(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links and those wanted (themselves one-to-one) whose row and column are both free; the others are left out."""
+    free = wanted.select("row_id", "col_id").join(links.select("row_id"), "row_id", "left_anti").join(links.select("col_id"), "col_id", "left_anti")
+    return links.select("row_id", "col_id").unionByName(free)
+
+
+def link_switches(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(row_id, old_col, new_col) of rows linked in both sets, to different columns."""
+    both = new.select("row_id", F.col("col_id").alias("new_col")).join(old.select("row_id", F.col("col_id").alias("old_col")), "row_id")
+    return both.where("new_col <> old_col").select("row_id", "old_col", "new_col")
+
+
+def precision_recall(estimate: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: links estimated, true and in both, precision and recall (null where nothing is estimated or true)."""
+    marks = estimate.select("row_id", "col_id", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(truth.select("row_id", "col_id", F.lit(0).alias("e"), F.lit(1).alias("t")))
+    each = marks.groupBy("row_id", "col_id").agg(F.max("e").alias("e"), F.max("t").alias("t"))
+    one = each.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("n_links"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_true"), F.coalesce(F.sum(F.col("e") * F.col("t")), F.lit(0)).alias("n_both"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("n_both") / F.col(n))
+    return one.withColumns({"precision": share("n_links"), "recall": share("n_true")})
+
+
+def link_counts(trace: DataFrame, burnin: int = 0, *by: str) -> DataFrame:
+    """(row_id, col_id, *by, n): steps after ``burnin`` at which a link stood, from intervals (row_id, col_id, start, stop)."""
+    return trace.where(F.col("stop") > burnin).groupBy("row_id", "col_id", *by).agg(F.sum(F.col("stop") - F.greatest(F.col("start"), F.lit(burnin + 1)) + 1).alias("n"))
 
 
 def step_links(trace: DataFrame, step: int) -> DataFrame:
@@ -159,8 +190,8 @@ def segment_links(trace: DataFrame, first: int, last: int) -> DataFrame:
     return trace.where((F.col("start") <= first) & (F.col("stop") >= last)).select("row_id", "col_id")
 
 
-def group_counts(trace: DataFrame, groups: DataFrame, key: str = "row_id") -> DataFrame:
-    """(step, gid, n): links standing at each step by group of their row or column; gid 0 is left out."""
+def group_counts(trace: DataFrame, groups: DataFrame, key: str | list[str] = "row_id") -> DataFrame:
+    """(step, gid, n): links standing at each step by group of their row, column or pair (both keys); gid 0 is left out."""
     steps = trace.withColumn("step", F.explode(F.sequence("start", "stop")))
     return steps.join(groups.where("gid > 0"), key).groupBy("step", "gid").agg(F.count(F.lit(1)).alias("n"))
 
@@ -210,8 +241,19 @@ def penalized_path(pairs: DataFrame, nlevels: list[int], p_m, p_u, prior_m, prio
         yield fit | {"penalty": penalty}
         p_m, p_u = fit["p_m"], fit["p_u"]
         weights = [r["w"] for r in P.maximum_weights(pats, [(P.split_fields(p_m, nlevels), P.split_fields(p_u, nlevels))]).collect()]
-        above = sorted(w for w in weights if w > penalty + mininc)
-        if not above:
+        penalty, n_above = next_penalty(weights, penalty, mininc)
+        if not n_above:
             return
-        below = [w for w in weights if penalty < w <= penalty + mininc]
-        penalty = max(penalty + mininc, (max(below, default=penalty) + above[0]) / 2)
+
+
+def next_penalty(weights: list[float], penalty: float, mininc: float, frac: float = 0.5) -> tuple[float, int]:
+    """The next penalty and how many pattern weights are above penalty + mininc (none: that sum).
+
+    It lies ``frac`` of the way between the weights on both sides of the sum, and not below the sum.
+    """
+    least = penalty + mininc
+    above = [w for w in weights if w > least]
+    if not above:
+        return least, 0
+    below = max((w for w in weights if penalty < w <= least), default=penalty)
+    return max(least, below + frac * (min(above) - below)), len(above)

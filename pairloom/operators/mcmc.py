@@ -1,12 +1,13 @@
 """Posterior samples of a one-to-one link structure within blocks: one chain a task.
 
-Every step sweeps the blocks with an informed proposal (a move is drawn with weight
-g(posterior ratio), g being a balancing function, and accepted by the ratio of the
-weights there and back), then draws the level probabilities given the links.
+Every step sweeps the blocks with the kernel chosen (an informed proposal draws a move
+with weight g(posterior ratio), g being a balancing function, and accepts it by the ratio
+of the weights there and back; others walk without that information), then draws the level probabilities given the links.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -28,6 +29,11 @@ class Links:
         a, b = self.of_row[r], self.of_col[c]
         return "delete" if a == c else "add" if a < 0 and b < 0 else "rowswitch" if a < 0 else "colswitch" if b < 0 else "doubleswitch"
 
+    def changes(self, r: int, c: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """The links that the move at (r, c) adds, and those it removes."""
+        a, b, kind = int(self.of_row[r]), int(self.of_col[c]), self.kind(r, c)
+        return {"delete": ([], [(r, c)]), "add": ([(r, c)], []), "rowswitch": ([(r, c)], [(b, c)]), "colswitch": ([(r, c)], [(r, a)]), "doubleswitch": ([(r, c), (b, a)], [(r, a), (b, c)])}[kind]
+
     def move(self, r: int, c: int) -> tuple[int, int]:
         """Make the move at (r, c); the result is where the move back is."""
         kind, a, b = self.kind(r, c), self.of_row[r], self.of_col[c]
@@ -57,6 +63,23 @@ class Block:
     def __init__(self, rows: np.ndarray, cols: np.ndarray):
         self.rows, self.cols = rows, cols
         self.place = {(int(r), int(c)): k for k, (r, c) in enumerate(zip(rows, cols))}
+        self.row_set, self.col_set = np.unique(rows), np.unique(cols)
+
+    def ratio(self, links: Links, ll: np.ndarray, log_prior: np.ndarray, r: int, c: int) -> float:
+        """Log posterior ratio of the move at any row and column; -inf where it would add a pair that isn't stored."""
+        added, removed = links.changes(r, c)
+        if any(x not in self.place for x in added):
+            return -np.inf
+        n = links.n + len(added) - len(removed)
+        if n >= len(log_prior):
+            return -np.inf
+        return sum(ll[self.place[x]] for x in added) - sum(ll[self.place[x]] for x in removed) + log_prior[n] - log_prior[links.n]
+
+    def counts_delta(self, links: Links, design: np.ndarray, r: int, c: int) -> np.ndarray:
+        """What the move at (r, c) adds to the level counts of the links; a pair that isn't stored counts nothing."""
+        added, removed = links.changes(r, c)
+        rows_of = lambda xs: design[[self.place[x] for x in xs if x in self.place]].sum(axis=0)
+        return rows_of(added) - rows_of(removed)
 
     def ratios(self, links: Links, ll: np.ndarray, add: float, remove: float) -> np.ndarray:
         """Log posterior ratio of the move at each stored pair; -inf where a move needs a pair that isn't stored."""
@@ -101,6 +124,74 @@ def informed_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndar
     return False
 
 
+def log_move_count(nrow: int, ncol: int, nlink: int) -> float:
+    """Log of how many moves a block has: its cells, the two cells of a double switch being one."""
+    return float(np.log(nrow * ncol - nlink * (nlink - 1) / 2))
+
+
+def uniform_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray, rng: np.random.Generator) -> bool:
+    """One of all moves in the block, each as likely; accepted by the posterior ratio and the count of moves there and back."""
+    nrow, ncol = len(block.row_set), len(block.col_set)
+    inside = lambda: int((links.of_row[block.row_set] >= 0).sum())
+    while True:
+        r, c = int(rng.choice(block.row_set)), int(rng.choice(block.col_set))
+        if links.kind(r, c) != "doubleswitch" or rng.random() < 0.5:
+            break
+    ratio, before = block.ratio(links, ll, log_prior, r, c), log_move_count(nrow, ncol, inside())
+    if ratio == -np.inf:
+        return False
+    back = links.move(r, c)
+    if np.log(rng.random()) < ratio + before - log_move_count(nrow, ncol, inside()):
+        return True
+    links.move(*back)
+    return False
+
+
+def open_column_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray, rng: np.random.Generator, p_remove: float = 0.5) -> bool:
+    """A row of the block: if unlinked, an open column is proposed; if linked, its removal or another open column."""
+    r = int(rng.choice(block.row_set))
+    free = block.col_set[links.of_col[block.col_set] < 0]
+    linked = links.of_row[r] >= 0
+    if linked and rng.random() < p_remove:
+        c, correction = int(links.of_row[r]), -np.log(p_remove) - np.log(len(free) + 1)
+    elif len(free):
+        c, correction = int(rng.choice(free)), 0.0 if linked else np.log(p_remove) + np.log(len(free))
+    else:
+        return False
+    if np.log(rng.random()) < block.ratio(links, ll, log_prior, r, c) + correction:
+        links.move(r, c)
+        return True
+    return False
+
+
+def gibbs_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray, rng: np.random.Generator) -> bool:
+    """Exact draw for a block of one row or one column: no link, or one of its pairs. Tells whether the link changed."""
+    now = next((k for k, (r, c) in enumerate(zip(block.rows, block.cols)) if links.of_row[r] == c), -1)
+    n = links.n - (now >= 0)
+    add = log_prior[n + 1] - log_prior[n] if n + 1 < len(log_prior) else -np.inf
+    w = np.concatenate([[0.0], ll + add])
+    w = np.exp(w - w.max())
+    new = int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), side="right").clip(0, len(w) - 1)) - 1
+    if new == now:
+        return False
+    for k in (now, new):
+        if k >= 0:
+            links.move(int(block.rows[k]), int(block.cols[k]))
+    return True
+
+
+def block_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray, rng: np.random.Generator, kernel: str) -> bool:
+    """One update by the kernel named: a balancing function, "uniform" or "open_column"; with "+gibbs", stars are drawn exactly."""
+    name, _, star = kernel.partition("+")
+    if star and min(len(block.row_set), len(block.col_set)) == 1:
+        return gibbs_step(block, links, ll, log_prior, rng)
+    if name == "uniform":
+        return uniform_step(block, links, ll, log_prior, rng)
+    if name == "open_column":
+        return open_column_step(block, links, ll, log_prior, rng)
+    return informed_step(block, links, ll, log_prior, rng, name)
+
+
 def run_chain(rows, cols, gammas, labels, nlevels, totals, prior_m, prior_u, log_prior, steps: int, seed: int, balance: str = "barker") -> tuple[list[tuple], list[tuple]]:
     """Link intervals (row, col, start, stop) and (step, nlinks, p_m, p_u) of one chain."""
     rng = np.random.default_rng(seed)
@@ -121,7 +212,7 @@ def run_chain(rows, cols, gammas, labels, nlevels, totals, prior_m, prior_u, log
         p_m, p_u = draw(linked, prior_m), draw(totals - linked, prior_u)
         ll = design @ (np.log(np.maximum(p_m, 1e-300)) - np.log(np.maximum(p_u, 1e-300)))
         for at, block in parts:
-            informed_step(block, links, ll[at], log_prior, rng, balance)
+            block_step(block, links, ll[at], log_prior, rng, balance)
         now = {(int(r), int(links.of_row[r])) for r in np.flatnonzero(links.of_row >= 0)}
         for x in [x for x in open_ if x not in now]:
             trace.append((*x, open_.pop(x), step - 1))
@@ -132,19 +223,50 @@ def run_chain(rows, cols, gammas, labels, nlevels, totals, prior_m, prior_u, log
     return trace, params
 
 
-def sample(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, balance: str = "barker") -> DataFrame:
-    """(chain_id, row_id, col_id, start, stop) from in-block pairs (row_id, col_id, gamma, label).
-
-    A chain needs all in-block pairs at once; chains are spread over tasks.
-    """
-    totals, prior_m, prior_u, log_prior = (np.asarray(x, dtype=float) for x in (totals, prior_m, prior_u, log_prior))
+def _chains(pairs: DataFrame, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, result: Callable, schema: str) -> DataFrame:
+    """One task a chain, each given all in-block pairs; ``result`` turns ids and what a chain made into rows."""
+    totals, prior_m, prior_u = (np.asarray(x, dtype=float) for x in (totals, prior_m, prior_u))
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["label", "row_id", "col_id"])
         row_ids, r = np.unique(pdf["row_id"], return_inverse=True)
         col_ids, c = np.unique(pdf["col_id"], return_inverse=True)
-        trace, _ = run_chain(r, c, np.array(pdf["gamma"].tolist()), pdf["label"].to_numpy(), nlevels, totals, prior_m, prior_u, log_prior, steps, seed + 7919 * int(key[0]), balance)
-        return pd.DataFrame([(key[0], row_ids[i], col_ids[j], a, b) for i, j, a, b in sorted(trace)], columns=["chain_id", "row_id", "col_id", "start", "stop"])
+        most = min(len(row_ids), len(col_ids))
+        prior = np.asarray([log_prior(n) for n in range(most + 1)] if callable(log_prior) else log_prior, dtype=float)
+        trace, params = run_chain(r, c, np.array(pdf["gamma"].tolist()), pdf["label"].to_numpy(), nlevels, totals, prior_m, prior_u, prior, steps, seed + 7919 * int(key[0]), kernel)
+        return pd.DataFrame([(key[0], *x) for x in result(row_ids, col_ids, trace, params)], columns=names)
 
     each = pairs.withColumn("chain_id", F.explode(F.sequence(F.lit(1), F.lit(chains))))
-    return each.groupBy("chain_id").applyInPandas(one, "chain_id int, row_id long, col_id long, start int, stop int")
+    return each.groupBy("chain_id").applyInPandas(one, schema)
+
+
+def sample(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+    """(chain_id, row_id, col_id, start, stop) from in-block pairs (row_id, col_id, gamma, label).
+
+    ``log_prior`` is a list by number of links or a function of it; ``kernel`` is as in ``block_step``.
+    A chain needs all in-block pairs at once; chains are spread over tasks.
+    """
+    def intervals(row_ids, col_ids, trace, params):
+        return [(row_ids[i], col_ids[j], a, b) for i, j, a, b in sorted(trace)]
+
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, intervals, "chain_id int, row_id long, col_id long, start int, stop int")
+
+
+def sample_counts(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+    """(chain_id, row_id, col_id, n): the chains of ``sample``, of which only the steps a link stood leave the task."""
+    def counted(row_ids, col_ids, trace, params):
+        n = Counter()
+        for i, j, a, b in trace:
+            n[i, j] += b - a + 1
+        return [(row_ids[i], col_ids[j], k) for (i, j), k in sorted(n.items())]
+
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, counted, "chain_id int, row_id long, col_id long, n long")
+
+
+def sample_parameters(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+    """(chain_id, step, nlinks, p_m, p_u): number of links and drawn probabilities of the chains of ``sample``."""
+    def drawn(row_ids, col_ids, trace, params):
+        return [(step, n, m.tolist(), u.tolist()) for step, n, m, u in params]
+
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, drawn, "chain_id int, step int, nlinks long, p_m array<double>, p_u array<double>")

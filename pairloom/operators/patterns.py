@@ -91,6 +91,38 @@ def link_level_counts(links: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.where("level > 0").groupBy((F.col("k") + 1).alias("field"), "level").agg(F.sum("count").alias("n"))
 
 
+def infer_nlevels(pats: DataFrame) -> DataFrame:
+    """(field, nlevels): the largest level seen in each field."""
+    return pats.select(F.posexplode("gamma").alias("k", "level")).groupBy((F.col("k") + 1).alias("field")).agg(F.max("level").alias("nlevels"))
+
+
+def level_index(nlevels: list[int]) -> list[int]:
+    """By field, how many levels the fields before it have; adding a level gives its place among all levels."""
+    return [sum(nlevels[:k]) for k in range(len(nlevels))]
+
+
+def pattern_levels(pats: DataFrame, nlevels: list[int]) -> DataFrame:
+    """(pattern_id, level_idx): the design matrix by its ones; missing fields have none."""
+    start = F.array(*[F.lit(x) for x in level_index(nlevels)])
+    return pats.select("pattern_id", F.posexplode("gamma").alias("k", "level")).where("level > 0").select("pattern_id", (F.element_at(start, F.col("k") + 1) + F.col("level")).alias("level_idx"))
+
+
+def pattern_observed(pats: DataFrame) -> DataFrame:
+    """(pattern_id, observed): 0 or 1 by field."""
+    return pats.select("pattern_id", F.transform("gamma", lambda g: (g != 0).cast("int")).alias("observed"))
+
+
+def linked_patterns(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(gamma, n): how many links each pattern has; those without a link are left out."""
+    return pairs.join(links.select("row_id", "col_id"), ["row_id", "col_id"], "left_semi").groupBy("gamma").agg(F.count(F.lit(1)).alias("n"))
+
+
+def midpoints(values: DataFrame, column: str) -> DataFrame:
+    """(mid): halfway between neighbouring distinct values of a pattern-sized table."""
+    step = Window.orderBy(column)
+    return values.select(column).distinct().select(((F.col(column) + F.lead(column).over(step)) / 2).alias("mid")).where("mid IS NOT NULL")
+
+
 def collected(pats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Gammas and counts of a pattern table: bounded by the levels, not by the data."""
     rows = sorted((tuple(r["gamma"]), r["n"]) for r in pats.select("gamma", "n").collect())

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions import columns as C
 from pairloom.operators import linkage as L, mcmc, patterns as P
+from pairloom.plans.staging import new_path
+from pairloom.sources import store
 
 FLAGSHIP = "patterns_customer_supplier"
 NLEVELS = [4, 3]
@@ -59,12 +61,27 @@ def _path(spark, d):
     return spark.createDataFrame([(float(f["penalty"]), f["links"].count(), f["iterations"]) for f in found], "penalty double, n_links long, iterations int")
 
 
-def _mcmc(spark, d):
+def _sampled(spark, d, sampler, kernel):
     at = L.bipartite_components(_weights(spark, d, 1.0)).select("row_id", "col_id", "label")
     inside = pairs(spark, d).join(at, ["row_id", "col_id"])
     totals = L._level_vector(P.level_counts(P.patterns(pairs(spark, d)), NLEVELS), NLEVELS)
     n = inside.select("row_id").distinct().count()
-    return mcmc.sample(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2)
+    return sampler(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2, kernel=kernel)
+
+
+def _stored(spark, d):
+    path = new_path(spark, "summary")
+    store.write_summary(pairs(spark, d), NLEVELS, path)
+    return store.read_summary(spark, path)["pairs"]
+
+
+def _first_links(spark, d, k: int) -> DataFrame:
+    """One column for each customer."""
+    return _links(spark, d, k).groupBy("row_id").agg(F.min("col_id").alias("col_id"))
+
+
+def _same_number(spark, d) -> DataFrame:
+    return pairs(spark, d).where("row_id = col_id").select("row_id", "col_id")
 
 
 def _sensitivity(spark, d):
@@ -129,7 +146,11 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "threshold_sensitivity": (_sensitivity, None),
     "em": (_em, None),
     "penalized_path": (_path, None),
-    "mcmc_trace": (_mcmc, None),
+    "mcmc_trace": (lambda s, d: _sampled(s, d, mcmc.sample, "barker"), None),
+    "mcmc_trace_uniform": (lambda s, d: _sampled(s, d, mcmc.sample, "uniform+gibbs"), None),
+    "mcmc_trace_open_column": (lambda s, d: _sampled(s, d, mcmc.sample, "open_column"), None),
+    "mcmc_counts": (lambda s, d: _sampled(s, d, mcmc.sample_counts, "barker+gibbs"), None),
+    "mcmc_parameters": (lambda s, d: _sampled(s, d, mcmc.sample_parameters, "barker"), None),
     "link_level_counts": (
         lambda s, d: P.link_level_counts(pairs(s, d).where("row_id = col_id").select("row_id", "col_id"), pairs(s, d)),
         f"{_PAIRS} SELECT 1 AS field, g1 AS level, count(*) AS n FROM pairs WHERE row_id = col_id AND g1 > 0 GROUP BY g1 UNION ALL SELECT 2, g2, count(*) FROM pairs WHERE row_id = col_id AND g2 > 0 GROUP BY g2",
@@ -160,6 +181,79 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         lambda s, d: C.betabipartite_table(s, 30, 20, 1.5, 2.0).select("nlink", F.round("logprior", 6).alias("logprior")),
         "SELECT n AS nlink, round(lgamma(31 - n) - lgamma(31) + lgamma(n + 1.5) + lgamma(22 - n) - lgamma(23.5) - (lgamma(1.5) + lgamma(2) - lgamma(3.5)), 6) AS logprior FROM range(0, 21) r(n)",
     ),
+    "stored_summary": (
+        lambda s, d: _stored(s, d).select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")), f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs",
+    ),
+    "inferred_levels": (lambda s, d: P.infer_nlevels(P.patterns(pairs(s, d))), f"{_PAIRS} SELECT 1 AS field, max(g1) AS nlevels FROM pairs UNION ALL SELECT 2, max(g2) FROM pairs HAVING count(*) > 0"),
+    "pattern_levels": (
+        lambda s, d: P.pattern_levels(P.patterns(pairs(s, d)), NLEVELS),
+        f"{_PAIRS}, p AS (SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, g1, g2 FROM (SELECT DISTINCT g1, g2 FROM pairs)) SELECT pattern_id, g1 AS level_idx FROM p WHERE g1 > 0 UNION ALL SELECT pattern_id, 4 + g2 FROM p WHERE g2 > 0",
+    ),
+    "pattern_observed": (
+        lambda s, d: P.pattern_observed(P.patterns(pairs(s, d))).select("pattern_id", F.col("observed")[0].alias("o1"), F.col("observed")[1].alias("o2")),
+        f"{_PAIRS} SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, (g1 > 0)::INT AS o1, (g2 > 0)::INT AS o2 FROM (SELECT DISTINCT g1, g2 FROM pairs)",
+    ),
+    "linked_patterns": (
+        lambda s, d: P.linked_patterns(_same_number(s, d), pairs(s, d)).select(F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2"), "n"),
+        f"{_PAIRS} SELECT g1, g2, count(*) AS n FROM pairs WHERE row_id = col_id GROUP BY g1, g2",
+    ),
+    "permuted_pairs": (
+        lambda s, d: P.permute(pairs(s, d), _t(s, d, "customer").select("c_custkey", F.col("c_custkey") * 10 + 3), _t(s, d, "supplier").select("s_suppkey", 7 - F.col("s_suppkey"))).select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
+        f"{_PAIRS} SELECT row_id * 10 + 3 AS row_id, 7 - col_id AS col_id, g1, g2 FROM pairs",
+    ),
+    "merge_conflicts": (
+        lambda s, d: P.merge_candidates(pairs(s, d), pairs(s, d).withColumn("gamma", F.when(F.col("row_id") % 3 == 0, F.array(F.lit(1), F.lit(1))).otherwise(F.col("gamma"))))[1],
+        f"{_PAIRS} SELECT row_id, col_id FROM pairs WHERE row_id % 3 = 0 AND (g1 <> 1 OR g2 <> 1)",
+    ),
+    "maximum_weights": (
+        lambda s, d: _rounded(P.maximum_weights(P.patterns(pairs(s, d)), [(P_M, P_U), (P_U, P_M)]), "w"),
+        f"{_PAIRS}, w AS (SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, {_CASE} AS w FROM (SELECT DISTINCT g1, g2 FROM pairs)) SELECT pattern_id, round(abs(w), 6) AS w FROM w",
+    ),
+    "shrunk_weights": (
+        lambda s, d: _weights(s, d).select("row_id", "col_id", F.round(C.shrink(F.col("w"), 1.0), 6).alias("w")), f"{_WEIGHTS} SELECT row_id, col_id, round(greatest(w - 1, 0), 6) AS w FROM w",
+    ),
+    "pair_index": (
+        lambda s, d: _same_number(s, d).withColumn("index", C.pair_to_index(F.col("row_id"), F.col("col_id"), 1000)).select("index", *[c.cast("long").alias(n) for n, c in zip(("row_back", "col_back"), C.index_to_pair(F.col("index"), 1000))]),
+        f'{_PAIRS} SELECT (col_id - 1) * 1000 + row_id AS "index", ((col_id - 1) * 1000 + row_id - 1) % 1000 + 1 AS row_back, ((col_id - 1) * 1000 + row_id - 1) // 1000 + 1 AS col_back FROM pairs WHERE row_id = col_id',
+    ),
+    "weight_midpoints": (
+        lambda s, d: _rounded(P.midpoints(_rounded(P.maximum_weights(P.patterns(pairs(s, d)), [(P_M, P_U)]), "w"), "w"), "mid"),
+        f"{_WEIGHTS}, k AS (SELECT DISTINCT round(w, 6) AS w FROM w) SELECT round(mid, 6) AS mid FROM (SELECT (w + lead(w) OVER (ORDER BY w)) / 2 AS mid FROM k) WHERE mid IS NOT NULL",
+    ),
+    "component_sizes": (
+        lambda s, d: L.component_sizes(L.bipartite_components(_weights(s, d, 1.0))),
+        f"{_COMPONENTS} SELECT label, count(DISTINCT e.row_id) AS n_rows, count(DISTINCT col_id) AS n_cols, count(*) AS n_edges FROM e JOIN l ON e.row_id = l.row_id GROUP BY label",
+    ),
+    "links_equal": (lambda s, d: L.links_equal(_links(s, d, 7), _links(s, d, 5)), f'SELECT NOT EXISTS (({_L.format(7)}) EXCEPT ({_L.format(5)})) AND NOT EXISTS (({_L.format(5)}) EXCEPT ({_L.format(7)})) AS "equal"'),
+    "links_inverse": (lambda s, d: L.invert_links(_first_links(s, d, 7)), "SELECT min(o_orderkey % 7) AS row_id, o_custkey AS col_id FROM orders GROUP BY o_custkey"),
+    "link_switches": (
+        lambda s, d: L.link_switches(_first_links(s, d, 7), _first_links(s, d, 5)),
+        "SELECT * FROM (SELECT o_custkey AS row_id, min(o_orderkey % 5) AS old_col, min(o_orderkey % 7) AS new_col FROM orders GROUP BY o_custkey) WHERE old_col <> new_col",
+    ),
+    "precision_recall": (
+        lambda s, d: _rounded(L.precision_recall(_links(s, d, 7), _links(s, d, 5)), "precision", "recall"),
+        f"WITH e AS ({_L.format(7)}), t AS ({_L.format(5)}), n AS (SELECT (SELECT count(*) FROM e) AS n_links, (SELECT count(*) FROM t) AS n_true, (SELECT count(*) FROM e JOIN t USING (row_id, col_id)) AS n_both) SELECT *, round(n_both / n_links, 6) AS precision, round(n_both / n_true, 6) AS recall FROM n",
+    ),
+    "link_stage_counts": (
+        lambda s, d: L.link_counts(_trace(s, d).withColumn("stage", F.col("start") % 3), 20, "stage"),
+        f"{_TRACE} SELECT row_id, col_id, start % 3 AS stage, sum(stop - greatest(start, 21) + 1)::BIGINT AS n FROM t WHERE stop > 20 GROUP BY ALL",
+    ),
+    "group_counts_column": (
+        lambda s, d: L.group_counts(_trace(s, d), s.range(50).select(F.col("id").alias("col_id"), (F.col("id") % 3).alias("gid")), "col_id"),
+        f"{_TRACE}, u AS (SELECT col_id % 3 AS gid, unnest(range(start, stop + 1)) AS step FROM t WHERE col_id < 50) SELECT step, gid, count(*) AS n FROM u WHERE gid > 0 GROUP BY ALL",
+    ),
+    "group_counts_pair": (
+        lambda s, d: L.group_counts(_trace(s, d), _trace(s, d).select("row_id", "col_id", ((F.col("row_id") + F.col("col_id")) % 4).alias("gid")).distinct(), ["row_id", "col_id"]),
+        f"{_TRACE}, u AS (SELECT (row_id + col_id) % 4 AS gid, unnest(range(start, stop + 1)) AS step FROM t) SELECT step, gid, count(*) AS n FROM u WHERE gid > 0 GROUP BY ALL",
+    ),
+    "trace_intervals": (
+        lambda s, d: L.intervals(_trace(s, d).select("row_id", "col_id", F.explode(F.sequence("start", "stop")).alias("step")).distinct()),
+        f"{_TRACE}, u AS (SELECT DISTINCT row_id, col_id, unnest(range(start, stop + 1)) AS step FROM t), g AS (SELECT *, step - row_number() OVER (PARTITION BY row_id, col_id ORDER BY step) AS run FROM u) SELECT row_id, col_id, min(step)::INT AS start, max(step)::INT AS stop FROM g GROUP BY row_id, col_id, run",
+    ),
+    "exppenalty_prior": (
+        lambda s, d: s.range(21).select(F.col("id").alias("nlink"), F.round(C.exppenalty_logprior(F.col("id"), 0.7), 6).alias("logprior"), F.round(C.exppenalty_logratio(F.col("id") + 1, F.col("id"), 0.7), 6).alias("logratio_add")),
+        "SELECT n AS nlink, round(-0.7e0 * n, 6) AS logprior, -0.7e0 AS logratio_add FROM range(0, 21) r(n)",
+    ),
 }
 
 

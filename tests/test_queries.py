@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from pairloom import registry
 from pairloom.operators import linkage, mcmc
+from pairloom.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,15 +67,63 @@ def test_moves_have_inverses():
         assert (links.of_row == after).all()
 
 
-@pytest.mark.parametrize("balance", ["barker", "sqrt", "min1", "max1"])
-def test_informed_steps_reach_the_posterior(balance):
+@pytest.mark.parametrize("kernel", ["barker", "sqrt", "min1", "max1", "uniform", "open_column"])
+def test_steps_reach_the_posterior(kernel):
     ll = np.array([[1.0, -0.5], [0.3, 0.8]])
     rows_, cols = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
     links, rng, seen = mcmc.Links(2, 2), np.random.default_rng(4), Counter()
     block, prior = mcmc.Block(rows_, cols), np.array([0.0, -0.4, -0.8])
     for _ in range(30_000):
-        mcmc.informed_step(block, links, ll.ravel(), prior, rng, balance)
+        mcmc.block_step(block, links, ll.ravel(), prior, rng, kernel)
         seen[tuple(links.of_row.tolist())] += 1
     weight = {s: math.exp(sum(ll[r, c] for r, c in enumerate(s) if c >= 0) - 0.4 * sum(c >= 0 for c in s)) for s in itertools.product((-1, 0, 1), repeat=2) if s[0] != s[1] or s[0] < 0}
     for s, w in weight.items():
         assert seen[s] / 30_000 == pytest.approx(w / sum(weight.values()), abs=0.02)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 3), (3, 1)])
+def test_gibbs_steps_reach_the_posterior(shape):
+    r, c = np.indices(shape).reshape(2, -1)
+    ll, links, rng, seen = np.array([0.6, -0.3, 1.1])[: r.size], mcmc.Links(*shape), np.random.default_rng(5), Counter()
+    block, prior = mcmc.Block(r, c), np.array([0.0, -0.4])
+    for _ in range(20_000):
+        mcmc.block_step(block, links, ll, prior, rng, "barker+gibbs")
+        seen[next((k for k in range(r.size) if links.of_row[r[k]] == c[k]), -1)] += 1
+        assert links.n == (links.of_row >= 0).sum() <= 1
+    weight = {-1: 1.0} | {k: math.exp(x - 0.4) for k, x in enumerate(ll)}
+    for k, w in weight.items():
+        assert seen[k] / 20_000 == pytest.approx(w / sum(weight.values()), abs=0.02)
+
+
+def test_counts_follow_the_moves():
+    rng, links = np.random.default_rng(6), mcmc.Links(3, 4)
+    r, c = np.indices((3, 4)).reshape(2, -1)
+    block, design = mcmc.Block(r, c), rng.integers(0, 2, (12, 5)).astype(float)
+    total = lambda: sum((design[block.place[i, int(j)]] for i, j in enumerate(links.of_row) if j >= 0), np.zeros(5))
+    for _ in range(200):
+        i, j = int(rng.integers(3)), int(rng.integers(4))
+        want = total() + block.counts_delta(links, design, i, j)
+        links.move(i, j)
+        assert (total() == want).all()
+
+
+def test_next_penalty():
+    assert linkage.next_penalty([0.5, 1.0, 2.0, 4.0], 0.0, 1.0) == (1.5, 2)
+    assert linkage.next_penalty([0.5, 1.0], 0.0, 1.0) == (1.0, 0)
+    assert linkage.next_penalty([], 2.0, 0.5) == (2.5, 0)
+
+
+def test_links_are_added_only_where_free(spark):
+    links = spark.createDataFrame([(1, 1), (2, 3)], "row_id long, col_id long")
+    wanted = spark.createDataFrame([(1, 2), (3, 3), (4, 4)], "row_id long, col_id long")
+    assert sorted(map(tuple, linkage.add_links(links, wanted).collect())) == [(1, 1), (2, 3), (4, 4)]
+
+
+def test_store(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("id\tname\n001\tNA\n002\t\n")
+    assert [tuple(r) for r in store.read_delimited(spark, str(tmp_path / "a.txt")).collect()] == [("001", "NA"), ("002", "")]
+    blocks = spark.createDataFrame([(1, 2, 1)], "row_id long, col_id long, label long")
+    store.write_blocks(blocks, str(tmp_path / "b"))
+    assert [tuple(r) for r in store.read_blocks(spark, str(tmp_path / "b")).collect()] == [(1, 2, 1)]
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        store.write_blocks(blocks, str(tmp_path / "b"))
