@@ -4,18 +4,25 @@ A text becomes counts of its hashed 1- to 3-grams over letters and word gaps, da
 (1 + log), weighted by inverse document frequency and normalised.  Each language has
 several centroids, from spherical k-means over its training vectors.  The language of
 the nearest centroid by cosine is predicted; a text whose cosine distance to it exceeds
-that centroid's radius is rejected.
+the radius of that centroid's language is rejected.
+
+Radii come from held-out distances: centroids fitted without a fold of the sample meet
+that fold's texts.  Short texts lie farther from any centroid, so a radius is kept for
+each class of length, with prefixes of the held-out texts standing for short ones.
 
 Fitting uses a bounded sample: about ``per_language`` documents of each language, chosen
 by a hash of their id.  Everything else covers all rows and whole texts.
 
 Nulls and edge cases: null texts and texts without a letter get ``und``, score 0 and are
 rejected; rows without a language aren't learned from; with nothing to learn from, every
-text is ``und``; repeated rows are predicted alike; other columns are kept as they are.
+text is ``und``; a language with few texts takes the distances of all; with no held-out
+text at all, nothing with a letter is rejected; repeated rows are predicted alike; other
+columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +32,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.plans.staging import bound_batches
 
-DIM = 4096
+_BITS = 14
+DIM = 1 << _BITS
+#: The whole text and its prefixes of so many characters give held-out distances.
+_CUTS = (None, 256, 64, 16)
+#: Texts of less than 2 ** k n-grams have a radius for each k; those of 2 ** (_CLASSES - 1) or more share one.
+_CLASSES = 10
+#: A language with fewer held-out distances of whole texts takes those of all languages.
+_FEW = 20
 #: Characters counted at a time: bounds the memory of one very long text.
 _BLOCK = 1 << 20
 _letters: list[np.ndarray] = []
@@ -58,14 +72,18 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
         # n-grams that end among the new characters
         for grams, n in ((one, 1), (two, 2), (three, 3)):
             fresh = grams[max(0, new - n + 1) :]
-            counts += np.bincount(((fresh * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(52)).astype(np.int64), minlength=DIM)
+            counts += np.bincount(((fresh * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - _BITS)).astype(np.int64), minlength=DIM)
         tail = codes[-2:]
     return counts if found else None
 
 
+def _length_class(counts: np.ndarray) -> int:
+    return min(int(counts.sum()).bit_length(), _CLASSES)
+
+
 @dataclass
 class CentroidModel:
-    """``centroids``: unit rows; ``language``: of each row; ``radius``: cosine distance up to which each accepts."""
+    """``centroids``: unit rows; ``language``: of each row; ``radius``: cosine distance up to which it accepts, by length class."""
 
     languages: list[str]
     idf: np.ndarray
@@ -88,15 +106,15 @@ class CentroidModel:
         best = int(cosines.argmax())
         # sums of the same numbers in another order may differ in the last digits
         score = round(min(1.0, max(0.0, float(cosines[best]))), 5)
-        return self.languages[self.language[best]], score, 1 - score > self.radius[best]
+        return self.languages[self.language[best]], score, 1 - score > self.radius[best, _length_class(counts)]
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means, started from the mean's farthest points in turn."""
+    """Spherical k-means, started in turn from points farther from those before than nine tenths of all: the farthest are strays."""
     mean = x.mean(axis=0)
     chosen = [x[int((x @ mean).argmax())]]
     while len(chosen) < min(k, len(x)):
-        chosen.append(x[int(np.max(x @ np.array(chosen).T, axis=1).argmin())])
+        chosen.append(x[int(np.max(x @ np.array(chosen).T, axis=1).argsort(kind="stable")[len(x) // 10])])
     centers = np.array(chosen)
     for _ in range(rounds):
         near = (x @ centers.T).argmax(axis=1)
@@ -105,53 +123,89 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def fit(docs: DataFrame, use: Column, per_language: int = 400, clusters: int = 3, slack: float = 0.85) -> CentroidModel:
+def _radii(held_out: list[tuple[float, int, bool]], quantile: float, margin: float) -> np.ndarray:
+    """Radius by length class from (cosine, class, whole text or not): a class accepts what the next longer one does and more."""
+    out = np.ones(_CLASSES + 1)
+    longest = [x for x, k, whole in held_out if whole and k == _CLASSES] or [x for x, _, whole in held_out if whole]
+    if not longest:
+        return out
+    least = np.inf
+    for k in range(_CLASSES, -1, -1):
+        cosines = longest if k == _CLASSES else [x for x, c, _ in held_out if c == k]
+        if cosines:
+            least = min(least, (1 - margin) * float(np.quantile(cosines, 1 - quantile, method="lower")))
+        out[k] = 1 - least
+    return out
+
+
+def fit(docs: DataFrame, use: Column, per_language: int = 400, clusters: int = 3, quantile: float = 0.995, margin: float = 0.1, folds: int = 4) -> CentroidModel:
     """Learn from rows where ``use`` holds and neither text nor lang is null.
 
-    ``slack``: a centroid's radius is the largest distance of its own training texts plus
-    this part of what is left up to 1, so that only texts far from anything known go.
+    A text is rejected when its cosine is below that of all but 1 - ``quantile`` of the
+    held-out texts of its length, less the part ``margin``.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), use.alias("use"))
     rows = rows.where("use and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return CentroidModel([], np.zeros(DIM, dtype=np.float32), np.zeros((0, DIM), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(0))
+        return CentroidModel([], np.zeros(DIM, dtype=np.float32), np.zeros((0, DIM), dtype=np.float32), np.zeros(0, dtype=int), np.zeros((0, _CLASSES + 1)))
     part = F.element_at(F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_language / n))]), F.col("lang"))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53)) < part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(lang, c) for lang, text in zip(batch.column(1).to_pylist(), batch.column(0)) if (c := ngram_counts(text.as_py())) is not None]
-            places = [np.flatnonzero(c) for _, c in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang for lang, _ in out], pa.string()), pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()), pa.array([c[p].astype("<u4").tobytes() for (_, c), p in zip(out, places)], pa.binary())], names=["lang", "place", "n"]
-            )
-
-    got = sorted(((r["lang"], bytes(r["place"]), bytes(r["n"])) for r in sample.select("text", "lang").mapInArrow(count, "lang string, place binary, n binary").collect()))
+            langs, places, numbers = [], [], []
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text.as_py()
+                found = [c for cut in _CUTS if (cut is None or cut < len(text)) and (c := ngram_counts(text[:cut])) is not None]
+                if found:
+                    at = [np.flatnonzero(c) for c in found]
+                    langs.append(lang)
+                    places.append([p.astype("<u2").tobytes() for p in at])
+                    numbers.append([c[p].astype("<u4").tobytes() for c, p in zip(found, at)])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.binary()))], names=["lang", "place", "n"])
+
+    def dense(place: bytes, n: bytes) -> np.ndarray:
+        counts = np.zeros(DIM, dtype=np.int64)
+        counts[np.frombuffer(place, "<u2")] = np.frombuffer(n, "<u4")
+        return counts
+
+    # of each text the whole and its prefixes
+    got = sorted((r["lang"], [bytes(p) for p in r["place"]], [bytes(n) for n in r["n"]]) for r in sample.select("text", "lang").mapInArrow(count, "lang string, place array<binary>, n array<binary>").collect())
     languages = sorted({g[0] for g in got})
-    model = CentroidModel(languages, np.zeros(DIM, dtype=np.float32), np.zeros((0, DIM), dtype=np.float32), np.zeros(0, dtype=int), np.zeros(0))
+    model = CentroidModel(languages, np.zeros(DIM, dtype=np.float32), np.zeros((0, DIM), dtype=np.float32), np.zeros(0, dtype=int), np.zeros((0, _CLASSES + 1)))
     df = np.zeros(DIM)
     for _, place, _ in got:
-        df[np.frombuffer(place, "<u2")] += 1
+        df[np.frombuffer(place[0], "<u2")] += 1
     model.idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    centroids, owner, radius = [], [], []
+    fold = [zlib.crc32(place[0] + n[0]) % folds for _, place, n in got]  # equal texts are held out together
+    # centers of each language: without each fold in turn, and last with all
+    centers: list[list[np.ndarray]] = [[] for _ in range(folds + 1)]
+    owner: list[list[int]] = [[] for _ in range(folds + 1)]
     for k, lang in enumerate(languages):
-        vectors = []
-        for _, place, n in (g for g in got if g[0] == lang):
-            counts = np.zeros(DIM, dtype=np.int64)
-            counts[np.frombuffer(place, "<u2")] = np.frombuffer(n, "<u4")
-            vectors.append(model.vector(counts))
-        x = np.array(vectors)
-        centers = _kmeans(x, clusters)
-        cosines = x @ centers.T
-        near = cosines.argmax(axis=1)
-        for c in range(len(centers)):
-            far = 1 - float(cosines[near == c, c].min()) if (near == c).any() else 0.0
-            radius.append(far + slack * (1 - far))
-        centroids += list(centers)
-        owner += [k] * len(centers)
-    model.centroids, model.language, model.radius = np.array(centroids), np.array(owner), np.array(radius)
+        own = [i for i, g in enumerate(got) if g[0] == lang]
+        x = np.array([model.vector(dense(got[i][1][0], got[i][2][0])) for i in own])
+        for without in range(folds + 1):
+            left = np.array([fold[i] != without for i in own])
+            if left.any():
+                found = _kmeans(x[left], clusters)
+                centers[without] += list(found)
+                owner[without] += [k] * len(found)
+    held_out: list[list[tuple[float, int, bool]]] = [[] for _ in languages]
+    for without in range(folds):
+        if centers[without]:
+            c = np.array(centers[without])
+            for _, places, ns in (g for g, f in zip(got, fold) if f == without):
+                for part, (place, n) in enumerate(zip(places, ns)):
+                    counts = dense(place, n)
+                    cosines = c @ model.vector(counts)
+                    best = int(cosines.argmax())
+                    held_out[owner[without][best]].append((float(cosines[best]), _length_class(counts), part == 0))
+    every = [x for one in held_out for x in one]
+    radius = [_radii(one if sum(x[2] for x in one) >= _FEW else every, quantile, margin) for one in held_out]
+    model.centroids, model.language = np.array(centers[folds]), np.array(owner[folds])
+    model.radius = np.array([radius[k] for k in owner[folds]])
     return model
 
 

@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, over generated documents and edge cases."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -110,6 +111,29 @@ def test_language(spark, docs, rows, none):
     assert langid.predict(docs, langid.fit(none, F.lit(True))).select("prediction.lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_rejects_what_is_far_and_keeps_clean_texts(spark):
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    use = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    model = langid.fit(every, use)
+    rng = np.random.default_rng(8)
+    words = lambda first, last, n: " ".join("".join(map(chr, rng.integers(first, last, rng.integers(2, 10)))) for _ in range(n))
+    far = [
+        "Suomen kieli on yksi maailman vaikeimmista kielistä oppia, mutta se on myös hyvin kaunis ja ilmaisuvoimainen kieli.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        *[words(97, 123, n) for n in (30, 300, 3000)], *[words(0x430, 0x450, n) for n in (30, 300, 3000)], *["".join(map(chr, rng.integers(0x4E00, 0x9FFF, n))) for n in (100, 3000)],
+        *[base64.b64encode(rng.bytes(n)).decode() for n in (100, 3000)], *[rng.bytes(n).hex() for n in (100, 3000)],
+    ]
+    assert [x[:40] for x in far if not model.predict(x)[2]] == []
+    clean = [r["text"] for r in every.where(~use & F.col("text").rlike("[a-zA-Z]")).select("text").collect()]
+    assert sum(not model.predict(x)[2] for x in clean) >= 0.99 * len(clean)
+    for n in (16, 64, 256):
+        short = [x[:n] for x in clean if len(x) > n]
+        assert sum(not model.predict(x)[2] for x in short) >= 0.98 * len(short)
+    few = langid.fit(every.where("lang = 'es'").limit(1), F.lit(True))
+    assert not few.predict("algo")[2] and few.predict("123")[2]
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "The quick (brown) fox, 12 jumps — über den\n\nfaulen Hund! " * 20
     whole = langid.ngram_counts(text)
