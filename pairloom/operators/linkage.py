@@ -234,14 +234,18 @@ def _level_vector(counts: DataFrame, nlevels: list[int]) -> np.ndarray:
 
 
 def penalized_path(pairs: DataFrame, nlevels: list[int], p_m, p_u, prior_m, prior_u, penalty: float = 0.0, mininc: float = 0.1, max_steps: int = 50, **options) -> Iterator[dict]:
-    """Fits under rising penalties, each started from the one before, until no pattern weighs more than the penalty."""
+    """Fits under rising penalties, each started from the one before, until no pattern weighs more than the penalty.
+
+    ``n_above``: the patterns that weigh more than a fit's penalty and ``mininc``; where the last fit has any, ``max_steps`` cut the path.
+    """
     pats = stage(P.patterns(pairs), "patterns")
     for _ in range(max_steps):
         fit = penalized_fit(pairs, nlevels, p_m, p_u, prior_m, prior_u, penalty, **options)
-        yield fit | {"penalty": penalty}
         p_m, p_u = fit["p_m"], fit["p_u"]
         weights = [r["w"] for r in P.maximum_weights(pats, [(P.split_fields(p_m, nlevels), P.split_fields(p_u, nlevels))]).collect()]
-        penalty, n_above = next_penalty(weights, penalty, mininc)
+        next_, n_above = next_penalty(weights, penalty, mininc)
+        yield fit | {"penalty": penalty, "n_above": n_above}
+        penalty = next_
         if not n_above:
             return
 

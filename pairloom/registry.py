@@ -57,8 +57,8 @@ def _em(spark, d):
 
 def _path(spark, d):
     one = np.full(sum(NLEVELS), 1.01)
-    found = L.penalized_path(pairs(spark, d), NLEVELS, np.concatenate(P_M), np.concatenate(P_U), one, one, mininc=2.0, max_steps=4, max_iter=5)
-    return spark.createDataFrame([(float(f["penalty"]), f["links"].count(), f["iterations"]) for f in found], "penalty double, n_links long, iterations int")
+    found = L.penalized_path(pairs(spark, d), NLEVELS, np.concatenate(P_M), np.concatenate(P_U), one, one, mininc=2.0)
+    return spark.createDataFrame([(float(f["penalty"]), f["links"].count(), f["iterations"], f["converged"], f["n_above"]) for f in found], "penalty double, n_links long, iterations int, converged boolean, n_above int")
 
 
 def _sampled(spark, d, sampler, kernel):

@@ -113,6 +113,12 @@ def test_next_penalty():
     assert linkage.next_penalty([], 2.0, 0.5) == (2.5, 0)
 
 
+def test_registered_path_runs_to_its_end(spark):
+    path = sorted(registry.queries()["penalized_path"](spark, "/root/testdata/sf0.01").collect(), key=lambda r: r["penalty"])
+    assert [round(r["penalty"], 2) for r in path] == [0.0, 2.0, 4.0, 7.22, 10.23, 12.23]
+    assert all(r["converged"] and r["n_above"] > 0 for r in path[:-1]) and path[-1]["converged"] and path[-1]["n_above"] == 0
+
+
 def test_links_are_added_only_where_free(spark):
     links = spark.createDataFrame([(1, 1), (2, 3)], "row_id long, col_id long")
     wanted = spark.createDataFrame([(1, 2), (3, 3), (4, 4)], "row_id long, col_id long")
