@@ -9,7 +9,8 @@ sample's size is fixed in words, to within half a document.
 
 The rank where a source is full is found by summing words in 1,024 intervals of rank,
 then in 1,024 intervals of the one that holds the end, and by ordering only what lies
-in that last interval, so no source is ever sorted or held as a whole.
+in that last interval, so no source is sorted as a whole, unless all its ranks lie in one
+interval.  Sources that get whole copies alone, as those at the cap do, aren't searched.
 
 Nulls and edge cases: null texts have no words; null sources are a source of their own,
 last in order; rows that repeat a document are ranked alike and taken by order of
@@ -98,9 +99,10 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: floa
         rest = target - whole * size
         table.append((r["__pl_source"], int(size), target, whole, rest, rest / size if size else 0.0))
     sources = sized.sparkSession.createDataFrame(table, "__pl_s string, __pl_source_size long, __pl_target double, __pl_whole int, __pl_rest double, __pl_p double")
-    ranked = _ranked(sized, sources)
-    coarse = stage(_boundary(ranked, f"__pl_cell div {_CELLS}", "0L"), "coarse")
-    inside = ranked.join(coarse, ranked["__pl_source"].eqNullSafe(coarse["__pl_s"]) & (F.expr(f"__pl_cell div {_CELLS}") == coarse["__pl_cut"]))
+    # a source of whole copies alone has nothing to cut
+    fractional = _ranked(sized, sources.where("__pl_rest > 0"))
+    coarse = stage(_boundary(fractional, f"__pl_cell div {_CELLS}", "0L"), "coarse")
+    inside = fractional.join(coarse, fractional["__pl_source"].eqNullSafe(coarse["__pl_s"]) & (F.expr(f"__pl_cell div {_CELLS}") == coarse["__pl_cut"]))
     return sources, stage(_boundary(inside, "__pl_cell", "__pl_start"), "cut")
 
 

@@ -111,6 +111,16 @@ def test_language(spark, docs, rows, none):
     assert langid.predict(docs, langid.fit(none, F.lit(True))).select("prediction.lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_mixing_does_not_order_sources_at_the_cap(spark):
+    # three equal sources: the first has weight 3 and is at the cap of two copies
+    docs = spark.createDataFrame([(i, "" if i < 3 else "a b c", f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
+    sized = mixing._sized(docs, 7)
+    sources, cut = mixing._plan(sized, (3.0, 1.0, 2.0), 1.5, 2.0)
+    assert [r["__pl_s"] for r in sources.where("__pl_rest = 0").collect()] == ["s0"]
+    assert "s0" not in [r["__pl_s"] for r in cut.collect()]
+    assert {r["copies"] for r in mixing.mix(docs).where("doc_id % 3 = 0").collect()} == {2}
+
+
 def test_language_rejects_what_is_far_and_keeps_clean_texts(spark):
     every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     use = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
