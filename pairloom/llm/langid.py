@@ -11,7 +11,8 @@ that fold's texts.  Short texts lie farther from any centroid, so a radius is ke
 each class of length, with prefixes of the held-out texts standing for short ones.
 
 Fitting uses a bounded sample: about ``per_language`` documents of each language, chosen
-by a hash of their id.  Everything else covers all rows and whole texts.
+by a hash of their id; document frequencies, centroids and radii come from it.  Prediction
+covers all rows and whole texts.
 
 Nulls and edge cases: null texts and texts without a letter get ``und``, score 0 and are
 rejected; rows without a language aren't learned from; with nothing to learn from, every
