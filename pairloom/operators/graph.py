@@ -6,21 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from pairloom.plans.staging import stage
+from pairloom.plans.staging import new_path
 
-#: Up to so many edges are settled in one task, in about 50 bytes each; more take rounds of joins.
-ONE_TASK = 1_000_000
+#: Edges that a task holds at a time while it contracts, in about 60 bytes each.
+_CHUNK = 1 << 18
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All (node, root) of the edges (u, v) at hand: least labels spread along edges, with pointer jumping."""
-    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
-    u, v = at.reshape(2, -1)
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the edges (u, v) but for the roots: least labels spread along edges, with pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
     label = np.arange(len(nodes))
     while True:
         low = np.minimum(label[u], label[v])
@@ -33,45 +30,61 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (new == label).all():
             break
         label = new
-    for k in range(0, len(nodes), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 50_000]), pa.array(nodes[label[k : k + 50_000]])], names=["node", "root"])
+    leaf = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[leaf], nodes[label[leaf]]
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges at hand as stars, chunk by chunk: as many components and fewer edges."""
+    held, n = [], 0
 
+    def emit() -> pa.RecordBatch:
+        node, root = _forest(*np.concatenate(held, axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
-    """Components of an undirected graph as (node, root), root being the smallest node reached; nodes are longs.
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        n += batch.num_rows
+        if n >= _CHUNK:
+            yield emit()
+            held, n = [], 0
+    if n:
+        yield emit()
+
+
+def _kept(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges as a staged table, and its count and checksum, taken while it is written."""
+    spark, seen = edges.sparkSession, Observation()
+    path = new_path(spark, label)
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).write.options(compression="zstd").parquet(path)
+    return spark.read.schema("u long, v long").parquet(path), (seen.get["n"], seen.get["x"])
 
-    Alternates the large-star and small-star rewirings (Kiveris et al., 2014): every
-    round is two aggregations with map-side combining and two equi-joins that
-    adaptive execution may split, and needs no more rows than the edge table has.
-    Nothing is collected but a count and a checksum per round, which tell when the
-    table of edges no longer changes.  Each round is a table in the shared folder.
 
-    A table of at most ``ONE_TASK`` edges (counted first) is settled by a single task on an
-    executor instead, which spares small inputs the rounds.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    """Components of an undirected graph as (node, root), root being the smallest node reached; nodes are longs.
+
+    The large-star and small-star rewirings alternate (Kiveris et al., 2014): every round is
+    two aggregations with map-side combining and two equi-joins that adaptive execution
+    may split, and makes no more rows than the edge table has.  Before the first round and
+    at the end of each, every task contracts the edges it has to stars, in chunks of bounded
+    size.  Nothing is collected but a count and a checksum per round, which tell when the
+    table of edges no longer changes.  Each round is a table in the shared folder; inputs
+    of any size take the same way.
 
     Self-loops and edges with a null end are ignored; nodes without an edge don't
     appear; repeated edges count once; an empty table gives an empty result.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    e = stage(e.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") > F.col("v"))).distinct(), "edges")
-    seen = _signature(e)
-    if seen[0] <= one_task:
-        return e.coalesce(1).mapInArrow(_settle, "node long, root long")
+    e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v"))
+    e, seen = _kept(e.mapInArrow(_contract, "u long, v long"), "edges")
     for _ in range(max_rounds):
-        # large star: every larger neighbour of a node goes to the smallest node around it
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # large star: what is above a node goes to the smallest node next to it, or stays
+        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+        large = e.join(low, e["v"] == low["c"], "left").select("u", F.coalesce("m", "v").alias("v"))
         # small star: every smaller neighbour, and the node itself, goes to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _signature(e)
+        moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        e, now = _kept(stars.mapInArrow(_contract, "u long, v long"), "edges")
         if now == seen:
             break
         seen = now

@@ -2,28 +2,60 @@
 
 ``stage`` cuts lineage by writing a Parquet table and reading it back, so a lost
 executor costs a re-read and never a recomputation of what came before.  The
-folder is the one named in ``spark.checkpoint.dir``; only where that is unset (as
-in tests) a folder of this library's own is used.
+folder is the one named in ``spark.checkpoint.dir``.  Where that is unset, a session
+whose executors are this very process (master ``local``) gets a folder of its own, and
+any other is refused: machines would not see each other's files.
+
+Results read staged tables lazily, so tables stay until ``drop_staged`` is called or
+the driver's Python ends; either deletes all that this application has staged.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_registered: set[str] = set()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or os.path.join(tempfile.gettempdir(), "pairloom-shared")).rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return os.path.join(tempfile.gettempdir(), "pairloom-local")
+    raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/pairloom/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged by this application; results that read them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
+    folder = _own_folder(spark)
+    if folder not in _registered:
+        _registered.add(folder)
+        atexit.register(_at_end, spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def _at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be stopped already
+        drop_staged(spark)
 
 
 def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
