@@ -343,7 +343,32 @@ def test_simhash(spark, docs, rows, none):
     same(got, ["doc_id", "fingerprint", "component_id"], [(d, f"{f:016x}", c) for (d, f), c in zip(fps, components(fps, 4))])
     stay = simhash.drop_near_duplicates(docs)
     assert stay.columns == docs.columns and stay.where("doc_id is null").count() == 1
-    assert simhash.near_duplicates(none).count() == 0
+    repeated = spark.createDataFrame([(3, "a b c d e", 1), (3, "a b c d e", 2), (3, "a b c d f g h", 3), (4, "a b c d e", 4), (None, "a b c d e", 5)], "doc_id long, text string, fp long")
+    left = simhash.drop_near_duplicates(repeated).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "a b c d e"), (3, "a b c d e"), (3, "a b c d f g h")]
+    assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("long", [2048, 8])
+def test_links_in_a_list(long, monkeypatch):
+    """Fingerprints that share bytes 0 to 3 meet in that list; its links connect them as all of its pairs do."""
+    monkeypatch.setattr(simhash, "_LONG", long)
+    rng = np.random.default_rng(7)
+    centers = rng.integers(1, 1 << 32, 6)
+    fps = sorted({(int(c) ^ sum(1 << int(b) for b in rng.choice(32, rng.integers(0, 4), replace=False))) << 32 | 7 for c in centers for _ in range(30)})
+    found = simhash._links_within(np.array(fps, dtype=np.uint64), 4, 0b1111)
+    graph = lambda links: components_of(fps, links)
+    assert graph(found) == graph([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 4])
+    assert simhash._links_within(np.array(fps, dtype=np.uint64), 4, 0b11110) == []  # another list answers for these pairs
+
+
+def components_of(nodes, links):
+    root = {x: x for x in nodes}
+    for a, b in links:
+        a, b = root[a], root[b]
+        if a != b:
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    return root
 
 
 def components(fps, radius):
