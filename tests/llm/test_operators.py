@@ -210,7 +210,8 @@ def test_exact_dedup(docs, rows, none):
     for r in rows:
         sha = hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r[1] or "").encode()).hexdigest()
         groups[sha].append((-len(r[1] or ""), r[0] is None, r[0] or 0))
-    out = dedup.exact_duplicates(docs, fan=2).cache()
+    out = dedup.exact_duplicates(docs, bits=1).cache()
+    assert Counter(map(tuple, dedup.exact_duplicates(docs).collect())) == Counter(map(tuple, out.collect()))
     assert out.count() == len(rows)
     for r in out.collect():
         best = min(groups[r["text_sha256"]])
@@ -221,6 +222,10 @@ def test_exact_dedup(docs, rows, none):
     assert stay.columns == docs.columns
     same(stay, ["doc_id"], [tuple(r) for r in out.where("kept").select("doc_id").collect()])
     assert dedup.exact_duplicates(none).count() == 0 and dedup.drop_exact_duplicates(none).count() == 0
+    # runs exchange along the bits of their numbers: a digest ends in the run that its last bits name
+    runs = dedup.digest_runs(docs.repartition(13))
+    last = dedup._merged(runs.selectExpr("cast(check & 15 as int) as run", *dedup._SAME, "struct(doc_id) as best", "1L as group_size"), 16)
+    assert "shufflepartitionidpassthrough" in last._jdf.queryExecution().toString() and last.select(F.spark_partition_id() == F.col("run")).distinct().collect() == [(True,)]
 
 
 def test_token_store(spark, docs, rows, none, tmp_path):
