@@ -1,20 +1,27 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words.  Every document of a source is expected
-``target / size`` times; its certain whole copies are allocated first, and the fraction
-that remains is its inclusion probability p.  Documents are then ranked by their random
-odds divided by their inclusion odds, (u / (1 - u)) / (p / (1 - p)) (Rosén's Pareto
-sampling), and the lowest ranks are taken until the words that remain are filled: the
-sample's size is fixed in words, to within half a document.
-
-The rank where a source is full is found by summing words in 1,024 intervals of rank,
-then in 1,024 intervals of the one that holds the end, and by ordering only what lies
-in that last interval, so no source is sorted as a whole, unless all its ranks lie in one
-interval.  Sources that get whole copies alone, as those at the cap do, aren't searched.
-
-Nulls and edge cases: null texts have no words; null sources are a source of their own,
-last in order; rows that repeat a document are ranked alike and taken by order of
-doc_id; sources without words have target 0; an empty table gives an empty result.
+Each source gets a target number of words.  Within a source a document is expected
+``min(most, c * sqrt(size))`` times: longer documents more often, none more than ``most``
+times, and c such that the expected words are the target.  The whole part of that
+are certain copies, allocated first; the fraction that remains is the document's inclusion
+probability p for one copy more.  Documents are then ranked by their random odds divided by
+their inclusion odds, (u / (1 - u)) / (p / (1 - p)) (Rosén's Pareto sampling), and the lowest
+ranks are taken while they fit in the words that remain: the sample's size is fixed, in words.
+Documents larger than all that remains are passed over, and where the first that doesn't fit
+leaves a gap, the ranks above it that do are taken once more; one more document, of those left
+the one that best fills what is missing, comes last.
+
+c comes from sums over 64 classes of size per octave; the rank where a source is full from
+sums over 1,024 intervals of rank, then 1,024 intervals of the one that holds the end, and
+from ordering only ids and sizes in that last interval, which rows that repeat one rank may
+fill.  So no source is sorted as a whole,
+and what a source takes is a few numbers from which every row tells its own copies:
+texts are never shuffled.
+
+Nulls and edge cases: null texts have no words; documents without words aren't taken; null
+sources are a source of their own, last in order; rows that repeat doc_id and text are taken
+alike; sources without words have target 0; an empty table gives an empty result; columns of
+any other name are passed over (``mix``) or kept (``mix_documents``).
 """
 
 from __future__ import annotations
@@ -24,8 +31,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pairloom.plans.staging import stage
 
 _CELLS = 1024
-#: Sources are summed up on the driver; more than this many are refused there.
+_LAST = _CELLS * _CELLS - 1
+#: What is known of a source is held on the driver and broadcast, some 150 bytes each; more than this many are refused.
 MAX_SOURCES = 1_000_000
+_SOURCE = "__pl_s string, __pl_source_size long, __pl_target double"
+_ORDER = ["__pl_place", "__pl_id", "__pl_size", "__pl_hash"]
 
 
 def shares(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
@@ -47,83 +57,153 @@ def shares(sizes: list[float], weights: list[float], total: float, most: float)
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """All columns of ``docs`` and a document's words and random number, 53 bits of its doc_id alone, so that runs agree."""
+    """All columns of ``docs``, a document's words, the root of their number, and 53 random bits of its doc_id and text, so that runs agree."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumns({
         "__pl_id": F.col("doc_id").cast("long"),
         "__pl_source": F.col("source").cast("string"),
-        "__pl_size": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long"),
-        "__pl_u": (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53)),
+        "__pl_size": F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long"),
+        "__pl_hash": F.xxhash64(text),
+    }).withColumns({
+        "__pl_u": (F.shiftrightunsigned(F.xxhash64("__pl_id", "__pl_hash", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53)),
+        "__pl_root": F.floor(F.sqrt("__pl_size") * 1024),  # whole, so that sums don't depend on their order
     })
 
 
-def _ranked(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds what a row's source has, its place among the source's ranks in (0, 1), and the interval it is in."""
-    rows = sized.join(sources, sized["__pl_source"].eqNullSafe(sources["__pl_s"])).drop("__pl_s")
+_NEEDED = ["__pl_id", "__pl_source", "__pl_size", "__pl_hash", "__pl_u", "__pl_root"]
+
+
+def _ranked(sized: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """Adds what is known of a row's source, its certain copies, its place among the source's ranks in (0, 1), and its interval; null without a fraction."""
+    rows = sized.join(F.broadcast(sources), sized["__pl_source"].eqNullSafe(sources["__pl_s"])).drop("__pl_s")
+    expected = F.when(F.col("__pl_size") == 0, 0.0).when(F.col("__pl_c").isNull(), F.when(F.col("__pl_target") > 0, float(most)).otherwise(0.0)).otherwise(F.least(F.lit(float(most)), F.col("__pl_c") * F.col("__pl_root")))
+    rows = rows.withColumn("__pl_expected", expected).withColumn("__pl_whole", F.floor("__pl_expected"))
+    rows = rows.withColumn("__pl_p", F.col("__pl_expected") - F.col("__pl_whole"))
     odds = (F.col("__pl_u") / (1 - F.col("__pl_u"))) / (F.col("__pl_p") / (1 - F.col("__pl_p")))
-    # odds in (0, inf) to (0, 1); without a fraction to sample, the place doesn't matter
-    rows = rows.withColumn("__pl_place", F.when(F.col("__pl_p") > 0, odds / (1 + odds)).otherwise(F.lit(0.5)))
-    return rows.withColumn("__pl_cell", F.least(F.floor(F.col("__pl_place") * (_CELLS * _CELLS)), F.lit(_CELLS * _CELLS - 1)).cast("long"))
-
-
-def _boundary(rows: DataFrame, cell: str, start: str) -> DataFrame:
-    """For each source the first interval at whose end the words pass what remains, and the words before it."""
-    sums = rows.groupBy("__pl_source", "__pl_rest", F.expr(cell).alias("c"), F.expr(start).alias("start")).agg(F.sum("__pl_size").alias("n"))
-    order = Window.partitionBy("__pl_source").orderBy("c")
-    sums = sums.withColumn("end", F.col("start") + F.sum("n").over(order))
-    first = sums.where(F.col("end") > F.col("__pl_rest")).withColumn("k", F.row_number().over(order)).where("k = 1")
-    return first.select(F.col("__pl_source").alias("__pl_s"), F.col("c").alias("__pl_cut"), (F.col("end") - F.col("n")).alias("__pl_start"))
-
-
-def _with_copies(sized: DataFrame, sources: DataFrame, cut: DataFrame) -> DataFrame:
-    """Adds __pl_copies. Only rows of the interval where their source gets full are ordered."""
-    ranked = _ranked(sized, sources)
-    placed = ranked.join(cut, ranked["__pl_source"].eqNullSafe(cut["__pl_s"]), "left")
-    clear = placed.where("__pl_cut is null or __pl_cell <> __pl_cut").withColumn("__pl_extra", F.expr("cast(__pl_rest > 0 and (__pl_cut is null or __pl_cell < __pl_cut) as int)"))
-    last = placed.where("__pl_cell = __pl_cut")
-    upto = F.sum("__pl_size").over(Window.partitionBy("__pl_source").orderBy("__pl_place", "__pl_id", "__pl_size").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("__pl_extra", (F.col("__pl_start") + upto - F.col("__pl_size") / 2 <= F.col("__pl_rest")).cast("int"))
-    return clear.unionByName(last).withColumn("__pl_copies", (F.col("__pl_whole") + F.col("__pl_extra")).cast("long"))
-
-
-def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """What each source gets, and where each is full."""
-    found = sized.groupBy("__pl_source").agg(F.sum("__pl_size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = rows.withColumn("__pl_odds", F.when(F.col("__pl_p") > 0, odds))
+    rows = rows.withColumn("__pl_place", F.col("__pl_odds") / (1 + F.col("__pl_odds")))  # odds in (0, inf) to (0, 1)
+    cell = F.least(F.floor(F.col("__pl_place") * (_CELLS * _CELLS)), F.lit(_LAST)).cast("long")
+    return rows.withColumn("__pl_cell", F.when(F.col("__pl_place").isNotNull(), cell))
+
+
+#: What the first cut leaves open is filled once more by the ranks above it that still fit.
+_CUTS = 2
+
+
+def _taken(cuts: int) -> str:
+    """SQL over a ranked row: it is within one of the first cuts."""
+    one = lambda k: f"(__pl_size <= __pl_gap{k} and (__pl_cell < __pl_cut{k} or (__pl_cell = __pl_cut{k} and struct({', '.join(_ORDER)}) <= __pl_end{k})))"
+    return f"coalesce({' or '.join(map(one, range(cuts))) or 'false'}, false)"
+
+
+#: SQL over a ranked row: it is the one document more.
+_FILLS = "coalesce(__pl_p > 0 and __pl_id <=> __pl_fill.__pl_id and __pl_size = __pl_fill.__pl_size and __pl_hash = __pl_fill.__pl_hash, false)"
+
+
+def _with(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """Sources and what was found of them, a row each; null where nothing was."""
+    found = found.withColumnRenamed("__pl_source", "__pl_f")
+    return sources.join(found, sources["__pl_s"].eqNullSafe(found["__pl_f"]), "left").drop("__pl_f")
+
+
+def _first_full(sums: DataFrame, cell: str, start: str) -> DataFrame:
+    """For each source the first interval at whose end the words pass ``__pl_rest``, and the words before it."""
+    order = Window.partitionBy("__pl_source").orderBy(cell)
+    ends = sums.withColumn("end", F.col(start) + F.sum("n").over(order)).where(F.col("end") > F.col("__pl_rest"))
+    return ends.withColumn("k", F.row_number().over(order)).where("k = 1").withColumn("__pl_start", F.col("end") - F.col("n"))
+
+
+def _cut(sized: DataFrame, sources: DataFrame, most: int, k: int) -> DataFrame:
+    """Adds where the words ``__pl_gap{k}`` are filled by the ranks that are left and fit, and what then is missing."""
+    each = Window.partitionBy("__pl_source")
+
+    def rows(known: DataFrame) -> DataFrame:
+        return _ranked(sized, known, most).where(f"__pl_p > 0 and not {_taken(k)} and __pl_size <= __pl_gap{k}")
+
+    rest = F.col(f"__pl_gap{k}").alias("__pl_rest")
+    coarse = rows(sources).groupBy("__pl_source", rest, F.expr(f"__pl_cell div {_CELLS}").alias("c")).agg(F.sum("__pl_size").alias("n")).withColumn("zero", F.lit(0).cast("long"))
+    total = coarse.groupBy("__pl_source").agg(F.sum("n").alias("__pl_all"))
+    coarse = _first_full(coarse, "c", "zero").select("__pl_source", F.col("c").alias("__pl_coarse"), "__pl_start")
+    known = stage(_with(_with(sources, total), coarse), "coarse")
+    inside = rows(known).where(f"__pl_cell div {_CELLS} = __pl_coarse")
+    fine = inside.groupBy("__pl_source", rest, F.col("__pl_start").alias("before"), "__pl_cell").agg(F.sum("__pl_size").alias("n"))
+    fine = _first_full(fine, "__pl_cell", "before").select("__pl_source", F.col("__pl_cell").alias(f"__pl_cut{k}"), "__pl_start")
+    known = stage(_with(known.drop("__pl_coarse", "__pl_start"), fine), "fine")
+    last = rows(known).where(f"__pl_cell = __pl_cut{k}")
+    upto = F.col("__pl_start") + F.sum("__pl_size").over(each.orderBy(*_ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = last.withColumn("upto", upto).where(f"upto <= __pl_gap{k}").groupBy("__pl_source").agg(F.max(F.struct(*_ORDER)).alias(f"__pl_end{k}"), F.max("upto").alias("__pl_upto"))
+    # without an interval where they are full, all that fit are taken
+    filled = F.coalesce("__pl_upto", "__pl_start", "__pl_all", F.lit(0))
+    return _with(known, ends).withColumn(f"__pl_gap{k + 1}", F.col(f"__pl_gap{k}") - filled).withColumn(f"__pl_cut{k}", F.coalesce(f"__pl_cut{k}", F.lit(_LAST + 1))).drop("__pl_start", "__pl_upto", "__pl_all")
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """A row for each source (__pl_s): size, target, c, and where its ranks are full."""
+    spark, each = sized.sparkSession, Window.partitionBy("__pl_source")
+    weighed = (F.col("__pl_root") * F.col("__pl_size")).cast("decimal(38,0)")
+    octave = F.floor(F.log2(F.greatest(F.col("__pl_size"), F.lit(1))) * 64)
+    bins = stage(sized.groupBy("__pl_source", octave.alias("bin")).agg(F.sum("__pl_size").alias("n"), F.sum(weighed).alias("w"), F.min("__pl_root").alias("least")), "bins")
+    found = bins.groupBy("__pl_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["__pl_source"] is None, (r["__pl_source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [float(r["n"]) for r in found]
     targets = shares(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most)
-    table = []
-    for r, size, target in zip(found, sizes, targets):
-        whole = int(target // size) if size else 0
-        rest = target - whole * size
-        table.append((r["__pl_source"], int(size), target, whole, rest, rest / size if size else 0.0))
-    sources = sized.sparkSession.createDataFrame(table, "__pl_s string, __pl_source_size long, __pl_target double, __pl_whole int, __pl_rest double, __pl_p double")
-    # a source of whole copies alone has nothing to cut
-    fractional = _ranked(sized, sources.where("__pl_rest > 0"))
-    coarse = stage(_boundary(fractional, f"__pl_cell div {_CELLS}", "0L"), "coarse")
-    inside = fractional.join(coarse, fractional["__pl_source"].eqNullSafe(coarse["__pl_s"]) & (F.expr(f"__pl_cell div {_CELLS}") == coarse["__pl_cut"]))
-    return sources, stage(_boundary(inside, "__pl_cell", "__pl_start"), "cut")
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    sources = spark.createDataFrame([(r["__pl_source"], int(n), t) for r, n, t in zip(found, sizes, targets)], _SOURCE)
+
+    # c: the largest sizes are capped class by class until the next class, at its own c, isn't above the cap
+    part = bins.join(F.broadcast(sources.where(f"__pl_target > 0 and __pl_target < {float(most)} * __pl_source_size")), bins["__pl_source"].eqNullSafe(F.col("__pl_s"))).where("n > 0")
+    down = each.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    above, heavier = F.coalesce(F.sum("n").over(down), F.lit(0)), F.coalesce(F.sum("w").over(down), F.lit(0))
+    part = part.withColumn("__pl_c", (F.col("__pl_target") - most * above) / (F.sum("w").over(each) - heavier).cast("double"))
+    part = part.where(F.col("__pl_c") * F.col("least") <= float(most)).withColumn("k", F.row_number().over(each.orderBy(F.desc("bin")))).where("k = 1")
+    sources = stage(_with(sources, part.select("__pl_source", "__pl_c")), "sources")
+
+    certain = _ranked(sized, sources, most).groupBy("__pl_source").agg(F.sum(F.col("__pl_whole") * F.col("__pl_size")).alias("n"))
+    sources = _with(sources, certain).withColumn("__pl_gap0", F.col("__pl_target") - F.coalesce("n", F.lit(0))).drop("n")
+    for k in range(_CUTS):
+        sources = _cut(sized, stage(sources, "gaps"), most, k)
+    sources = stage(sources.withColumn("__pl_gap", F.col(f"__pl_gap{_CUTS}")).withColumn("__pl_fill", F.lit(None).cast("struct<__pl_id:bigint,__pl_size:bigint,__pl_hash:bigint>")), "ends")
+
+    # of the documents left, the one that comes nearest to what is missing; not if rows that repeat it overshoot
+    left = _ranked(sized, sources, most).where(f"__pl_p > 0 and not {_taken(_CUTS)} and __pl_size < 2 * __pl_gap")
+    own = F.struct("__pl_id", "__pl_size", "__pl_hash").alias("own")
+    fill = left.groupBy("__pl_source").agg(F.min(F.struct(F.abs(F.col("__pl_size") - F.col("__pl_gap")).alias("far"), "__pl_place", own)).alias("best")).select("__pl_source", F.col("best.own").alias("__pl_fill"))
+    tried = stage(_with(sources.drop("__pl_fill"), fill), "tried")
+    n = _ranked(sized, tried, most).where(_FILLS).groupBy("__pl_source").agg(F.sum("__pl_size").alias("n"), F.max("__pl_gap").alias("gap")).where("abs(n - gap) < gap")
+    kept = _with(tried, n.select("__pl_source", "n")).withColumn("__pl_fill", F.when(F.col("n").isNotNull(), F.col("__pl_fill"))).drop("n", "__pl_gap")
+    return stage(kept, "plan")
+
+
+def _with_copies(sized: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """Adds __pl_copies, told from the row itself and what is known of its source."""
+    rows = _ranked(sized, sources, most)
+    return rows.withColumn("__pl_copies", F.expr(f"cast(__pl_whole + if({_taken(_CUTS)} or {_FILLS}, 1, 0) as bigint)"))
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    if most != int(most) or most < 1:
+        raise ValueError("most has to be a whole number of copies")
+    sized = stage(_sized(docs.select("doc_id", "source", "text"), seed).select(_NEEDED), "sizes")
+    return sized, _plan(sized, weights, share, int(most))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row.
 
     ``weights`` repeat over the sources in code point order.  ``share`` is the size of the
-    mix as a part of all words; ``most`` caps a source at so many times its own size.
+    mix as a part of all words; ``most`` caps a source, and each document, at so many times its size.
     ``copies``: how often the document is in the mix; ``taken`` = copies * size.
     """
-    sized = stage(_sized(docs.select("doc_id", "source", "text"), seed).select("__pl_id", "__pl_source", "__pl_size", "__pl_u"), "sizes")
-    rows = _with_copies(sized, *_plan(sized, weights, share, most))
-    return rows.select(
+    sized, plan = _planned(docs, weights, share, most, seed)
+    return _with_copies(sized, plan, int(most)).select(
         F.col("__pl_id").alias("doc_id"), F.col("__pl_size").alias("size"), F.col("__pl_source_size").alias("source_size"), F.col("__pl_target").alias("target"),
         (F.col("__pl_copies") * F.col("__pl_size")).alias("taken"), F.col("__pl_copies").alias("copies"),
     )
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, as often as they are taken."""
-    own = docs.columns
-    sized = stage(_sized(docs.select("doc_id", "source", "text"), seed).select("__pl_id", "__pl_source", "__pl_size", "__pl_u"), "sizes")
-    rows = _with_copies(_sized(docs, seed), *_plan(sized, weights, share, most)).where("__pl_copies > 0")
-    return rows.withColumn("__pl_k", F.explode(F.expr("sequence(1, cast(__pl_copies as int))"))).select(own)
+    _, plan = _planned(docs, weights, share, most, seed)
+    rows = _with_copies(_sized(docs, seed), plan, int(most)).where("__pl_copies > 0")
+    return rows.withColumn("__pl_k", F.explode(F.expr("sequence(1, cast(__pl_copies as int))"))).select(docs.columns)

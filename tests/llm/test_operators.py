@@ -111,14 +111,42 @@ def test_language(spark, docs, rows, none):
     assert langid.predict(docs, langid.fit(none, F.lit(True))).select("prediction.lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_mixing_does_not_order_sources_at_the_cap(spark):
-    # three equal sources: the first has weight 3 and is at the cap of two copies
-    docs = spark.createDataFrame([(i, "" if i < 3 else "a b c", f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
-    sized = mixing._sized(docs, 7)
-    sources, cut = mixing._plan(sized, (3.0, 1.0, 2.0), 1.5, 2.0)
-    assert [r["__pl_s"] for r in sources.where("__pl_rest = 0").collect()] == ["s0"]
-    assert "s0" not in [r["__pl_s"] for r in cut.collect()]
-    assert {r["copies"] for r in mixing.mix(docs).where("doc_id % 3 = 0").collect()} == {2}
+def test_mixing_ranks_by_odds(spark):
+    """Certain copies, places and the cut against a plain version: every document of a source, sorted."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(n), f"s{i % 3}") for i, n in enumerate(rng.lognormal(3, 1.2, 1200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    ranked = mixing._ranked(mixing._sized(docs, 7), mixing._planned(docs, (3.0, 1.0, 2.0), 1.5, 2, 7)[1], 2)
+    of = defaultdict(list)
+    for r in ranked.collect():
+        of[r["__pl_source"]].append(r)
+    assert {r["copies"] for d, r in got.items() if d % 3 == 0} <= {0, 2}  # weight 3: at the cap, nothing is ranked
+    for source in ("s1", "s2"):
+        target, size = next((r["target"], r["source_size"]) for d, r in got.items() if f"s{d % 3}" == source)
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(2.0, c * r["__pl_size"] ** 0.5) * r["__pl_size"] for r in of[source]) < target else (low, c)
+        mine = sorted(of[source], key=lambda r: r["__pl_id"])
+        for r in mine:
+            assert r["__pl_expected"] == pytest.approx(min(2.0, c * r["__pl_size"] ** 0.5), rel=0.03)
+        assert len({round(r["__pl_p"], 6) for r in mine}) > 20  # the odds differ within a source
+        left = target - sum(int(r["__pl_expected"]) * r["__pl_size"] for r in mine)
+        taken = {r["__pl_id"]: int(r["__pl_expected"]) for r in mine}
+        ranks = sorted((r for r in mine if r["__pl_p"] > 0), key=lambda r: (r["__pl_u"] / (1 - r["__pl_u"])) / (r["__pl_p"] / (1 - r["__pl_p"])))
+        for _ in range(2):
+            ranks = [r for r in ranks if r["__pl_size"] <= left]
+            while ranks and ranks[0]["__pl_size"] <= left:
+                r = ranks.pop(0)
+                taken[r["__pl_id"]] += 1
+                left -= r["__pl_size"]
+        more = [d for d in taken if taken[d] != got[d]["copies"]]
+        assert len(more) <= 1 and all(got[d]["copies"] == taken[d] + 1 for d in more)
+        assert abs(sum(got[d]["taken"] for d in taken) - target) <= 3
+        assert max(Counter(r["__pl_cell"] for r in mine if r["__pl_p"] > 0).values()) <= 3  # what one interval orders
+    twice = {d for d, r in got.items() if r["copies"] == 2}
+    assert np.mean([got[d]["size"] for d in twice]) > np.mean([r["size"] for r in got.values()])
 
 
 def test_language_rejects_what_is_far_and_keeps_clean_texts(spark):
@@ -315,6 +343,7 @@ def test_mixing(docs, rows, none):
     of = defaultdict(list)
     for r in rows:
         of[(r[0], len(words(r[1])))].append(r[3])
+    assert {r["taken"] for r in out.where("size = 0").collect()} == {0}
     taken, largest = Counter(), Counter()
     got = out.collect()
     assert len(got) == len(rows)
@@ -325,6 +354,7 @@ def test_mixing(docs, rows, none):
         largest[s] = max(largest[s], r["size"])
     for s in size:
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
+        assert abs(taken[s] - target[s]) <= 3 or largest[s] > target[s] / 4  # few large documents can't be dealt finer
     same(mixing.mix(docs.repartition(3)), ["doc_id", "taken"], [(r["doc_id"], r["taken"]) for r in got])
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
