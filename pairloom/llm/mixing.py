@@ -7,14 +7,11 @@ are certain copies, allocated first; the fraction that remains is the document's
 probability p for one copy more.  Documents are then ranked by their random odds divided by
 their inclusion odds, (u / (1 - u)) / (p / (1 - p)) (Rosén's Pareto sampling), and the lowest
 ranks are taken while they fit in the words that remain: the sample's size is fixed, in words.
-Documents larger than all that remains are passed over, and where the first that doesn't fit
-leaves a gap, the ranks above it that do are taken once more; one more document, of those left
-the one that best fills what is missing, comes last.
+One more document, of those left the one that best fills what is missing, comes last.
 
 c comes from sums over 64 classes of size per octave; the rank where a source is full from
-sums over 1,024 intervals of rank, then 1,024 intervals of the one that holds the end, and
-from ordering only ids and sizes in that last interval, which rows that repeat one rank may
-fill.  So no source is sorted as a whole,
+sums over 65,536 intervals of rank, and from ordering only ids and sizes in the interval that
+holds the end, which rows that repeat one rank may fill.  So no source is sorted as a whole,
 and what a source takes is a few numbers from which every row tells its own copies:
 texts are never shuffled.
 
@@ -26,15 +23,14 @@ any other name are passed over (``mix``) or kept (``mix_documents``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.plans.staging import stage
 
-_CELLS = 1024
-_LAST = _CELLS * _CELLS - 1
+_CELLS = 1 << 16
 #: What is known of a source is held on the driver and broadcast, some 150 bytes each; more than this many are refused.
 MAX_SOURCES = 1_000_000
-_SOURCE = "__pl_s string, __pl_source_size long, __pl_target double"
+_SOURCE = "__pl_s string, __pl_source_size long, __pl_target double, __pl_c double, __pl_gap double, __pl_cut long, __pl_start long, __pl_end struct<p:double,i:bigint,n:bigint,h:bigint>, __pl_fill struct<id:bigint,size:bigint,hash:bigint>"
 _ORDER = ["__pl_place", "__pl_id", "__pl_size", "__pl_hash"]
 
 
@@ -82,64 +78,34 @@ def _ranked(sized: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     odds = (F.col("__pl_u") / (1 - F.col("__pl_u"))) / (F.col("__pl_p") / (1 - F.col("__pl_p")))
     rows = rows.withColumn("__pl_odds", F.when(F.col("__pl_p") > 0, odds))
     rows = rows.withColumn("__pl_place", F.col("__pl_odds") / (1 + F.col("__pl_odds")))  # odds in (0, inf) to (0, 1)
-    cell = F.least(F.floor(F.col("__pl_place") * (_CELLS * _CELLS)), F.lit(_LAST)).cast("long")
+    cell = F.least(F.floor(F.col("__pl_place") * _CELLS), F.lit(_CELLS - 1)).cast("long")
     return rows.withColumn("__pl_cell", F.when(F.col("__pl_place").isNotNull(), cell))
 
 
-#: What the first cut leaves open is filled once more by the ranks above it that still fit.
-_CUTS = 2
+#: SQL over a ranked row: it is among the lowest ranks; it is the one document more.
+_TAKEN = f"coalesce(__pl_cell < __pl_cut or (__pl_cell = __pl_cut and struct({', '.join(_ORDER)}) <= __pl_end), false)"
+_FILLS = "coalesce(__pl_p > 0 and __pl_id <=> __pl_fill.id and __pl_size = __pl_fill.size and __pl_hash = __pl_fill.hash, false)"
 
 
-def _taken(cuts: int) -> str:
-    """SQL over a ranked row: it is within one of the first cuts."""
-    one = lambda k: f"(__pl_size <= __pl_gap{k} and (__pl_cell < __pl_cut{k} or (__pl_cell = __pl_cut{k} and struct({', '.join(_ORDER)}) <= __pl_end{k})))"
-    return f"coalesce({' or '.join(map(one, range(cuts))) or 'false'}, false)"
+class _Sources:
+    """What is known of the sources, by name; at most ``MAX_SOURCES`` rows, held on the driver and broadcast."""
 
+    def __init__(self, spark: SparkSession, known: dict[str | None, dict]):
+        self.spark, self.known = spark, known
 
-#: SQL over a ranked row: it is the one document more.
-_FILLS = "coalesce(__pl_p > 0 and __pl_id <=> __pl_fill.__pl_id and __pl_size = __pl_fill.__pl_size and __pl_hash = __pl_fill.__pl_hash, false)"
+    def table(self) -> DataFrame:
+        names = [x.split()[0].removeprefix("__pl_") for x in _SOURCE.split(", ")]
+        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.known.values()], _SOURCE)
 
-
-def _with(sources: DataFrame, found: DataFrame) -> DataFrame:
-    """Sources and what was found of them, a row each; null where nothing was."""
-    found = found.withColumnRenamed("__pl_source", "__pl_f")
-    return sources.join(found, sources["__pl_s"].eqNullSafe(found["__pl_f"]), "left").drop("__pl_f")
-
-
-def _first_full(sums: DataFrame, cell: str, start: str) -> DataFrame:
-    """For each source the first interval at whose end the words pass ``__pl_rest``, and the words before it."""
-    order = Window.partitionBy("__pl_source").orderBy(cell)
-    ends = sums.withColumn("end", F.col(start) + F.sum("n").over(order)).where(F.col("end") > F.col("__pl_rest"))
-    return ends.withColumn("k", F.row_number().over(order)).where("k = 1").withColumn("__pl_start", F.col("end") - F.col("n"))
-
-
-def _cut(sized: DataFrame, sources: DataFrame, most: int, k: int) -> DataFrame:
-    """Adds where the words ``__pl_gap{k}`` are filled by the ranks that are left and fit, and what then is missing."""
-    each = Window.partitionBy("__pl_source")
-
-    def rows(known: DataFrame) -> DataFrame:
-        return _ranked(sized, known, most).where(f"__pl_p > 0 and not {_taken(k)} and __pl_size <= __pl_gap{k}")
-
-    rest = F.col(f"__pl_gap{k}").alias("__pl_rest")
-    coarse = rows(sources).groupBy("__pl_source", rest, F.expr(f"__pl_cell div {_CELLS}").alias("c")).agg(F.sum("__pl_size").alias("n")).withColumn("zero", F.lit(0).cast("long"))
-    total = coarse.groupBy("__pl_source").agg(F.sum("n").alias("__pl_all"))
-    coarse = _first_full(coarse, "c", "zero").select("__pl_source", F.col("c").alias("__pl_coarse"), "__pl_start")
-    known = stage(_with(_with(sources, total), coarse), "coarse")
-    inside = rows(known).where(f"__pl_cell div {_CELLS} = __pl_coarse")
-    fine = inside.groupBy("__pl_source", rest, F.col("__pl_start").alias("before"), "__pl_cell").agg(F.sum("__pl_size").alias("n"))
-    fine = _first_full(fine, "__pl_cell", "before").select("__pl_source", F.col("__pl_cell").alias(f"__pl_cut{k}"), "__pl_start")
-    known = stage(_with(known.drop("__pl_coarse", "__pl_start"), fine), "fine")
-    last = rows(known).where(f"__pl_cell = __pl_cut{k}")
-    upto = F.col("__pl_start") + F.sum("__pl_size").over(each.orderBy(*_ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = last.withColumn("upto", upto).where(f"upto <= __pl_gap{k}").groupBy("__pl_source").agg(F.max(F.struct(*_ORDER)).alias(f"__pl_end{k}"), F.max("upto").alias("__pl_upto"))
-    # without an interval where they are full, all that fit are taken
-    filled = F.coalesce("__pl_upto", "__pl_start", "__pl_all", F.lit(0))
-    return _with(known, ends).withColumn(f"__pl_gap{k + 1}", F.col(f"__pl_gap{k}") - filled).withColumn(f"__pl_cut{k}", F.coalesce(f"__pl_cut{k}", F.lit(_LAST + 1))).drop("__pl_start", "__pl_upto", "__pl_all")
+    def learn(self, found: DataFrame, *names: str) -> None:
+        """Take the columns ``names`` of ``found``, a row for each __pl_source in question."""
+        for r in found.collect():
+            self.known[r["__pl_source"]] |= {n: r[n] for n in names}
 
 
 def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     """A row for each source (__pl_s): size, target, c, and where its ranks are full."""
-    spark, each = sized.sparkSession, Window.partitionBy("__pl_source")
+    each = Window.partitionBy("__pl_source")
     weighed = (F.col("__pl_root") * F.col("__pl_size")).cast("decimal(38,0)")
     octave = F.floor(F.log2(F.greatest(F.col("__pl_size"), F.lit(1))) * 64)
     bins = stage(sized.groupBy("__pl_source", octave.alias("bin")).agg(F.sum("__pl_size").alias("n"), F.sum(weighed).alias("w"), F.min("__pl_root").alias("least")), "bins")
@@ -149,36 +115,46 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int)
     found.sort(key=lambda r: (r["__pl_source"] is None, (r["__pl_source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [float(r["n"]) for r in found]
     targets = shares(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most)
-    sources = spark.createDataFrame([(r["__pl_source"], int(n), t) for r, n, t in zip(found, sizes, targets)], _SOURCE)
+    sources = _Sources(sized.sparkSession, {r["__pl_source"]: {"s": r["__pl_source"], "source_size": int(n), "target": t} for r, n, t in zip(found, sizes, targets)})
 
     # c: the largest sizes are capped class by class until the next class, at its own c, isn't above the cap
-    part = bins.join(F.broadcast(sources.where(f"__pl_target > 0 and __pl_target < {float(most)} * __pl_source_size")), bins["__pl_source"].eqNullSafe(F.col("__pl_s"))).where("n > 0")
+    part = bins.join(F.broadcast(sources.table()), bins["__pl_source"].eqNullSafe(F.col("__pl_s"))).where(f"n > 0 and __pl_target > 0 and __pl_target < {float(most)} * __pl_source_size")
     down = each.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     above, heavier = F.coalesce(F.sum("n").over(down), F.lit(0)), F.coalesce(F.sum("w").over(down), F.lit(0))
-    part = part.withColumn("__pl_c", (F.col("__pl_target") - most * above) / (F.sum("w").over(each) - heavier).cast("double"))
-    part = part.where(F.col("__pl_c") * F.col("least") <= float(most)).withColumn("k", F.row_number().over(each.orderBy(F.desc("bin")))).where("k = 1")
-    sources = stage(_with(sources, part.select("__pl_source", "__pl_c")), "sources")
-
-    certain = _ranked(sized, sources, most).groupBy("__pl_source").agg(F.sum(F.col("__pl_whole") * F.col("__pl_size")).alias("n"))
-    sources = _with(sources, certain).withColumn("__pl_gap0", F.col("__pl_target") - F.coalesce("n", F.lit(0))).drop("n")
-    for k in range(_CUTS):
-        sources = _cut(sized, stage(sources, "gaps"), most, k)
-    sources = stage(sources.withColumn("__pl_gap", F.col(f"__pl_gap{_CUTS}")).withColumn("__pl_fill", F.lit(None).cast("struct<__pl_id:bigint,__pl_size:bigint,__pl_hash:bigint>")), "ends")
+    part = part.withColumn("c", (F.col("__pl_target") - most * above) / (F.sum("w").over(each) - heavier).cast("double"))
+    part = part.where(F.col("c") * F.col("least") <= float(most)).withColumn("k", F.row_number().over(each.orderBy(F.desc("bin")))).where("k = 1")
+    sources.learn(part, "c")
+
+    # the interval where the words that certain copies leave are filled
+    cells = _ranked(sized, sources.table(), most).groupBy("__pl_source", "__pl_target", "__pl_cell").agg(F.sum(F.when(F.col("__pl_p") > 0, F.col("__pl_size")).otherwise(0)).alias("n"), F.sum(F.col("__pl_whole") * F.col("__pl_size")).alias("certain"))
+    cells = cells.withColumn("gap", F.col("__pl_target") - F.sum("certain").over(each)).withColumn("end", F.sum("n").over(each.orderBy(F.col("__pl_cell").asc_nulls_first())))
+    full = cells.where("__pl_cell is not null and end > gap").withColumn("k", F.row_number().over(each.orderBy("__pl_cell"))).where("k = 1")
+    sources.learn(full.select("__pl_source", "gap", F.col("__pl_cell").alias("cut"), (F.col("end") - F.col("n")).alias("start")), "gap", "cut", "start")
+    # and in it the last row that fits
+    last = _ranked(sized, sources.table(), most).where("__pl_cell = __pl_cut")
+    upto = F.col("__pl_start") + F.sum("__pl_size").over(each.orderBy(*_ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = last.withColumn("upto", upto).where("upto <= __pl_gap").groupBy("__pl_source").agg(F.max(F.struct(*_ORDER)).alias("end"), F.max("upto").alias("start"))
+    sources.learn(ends, "end", "start")
+    for r in sources.known.values():
+        r["gap"] = r["gap"] - r["start"] if "cut" in r else 0.0
 
     # of the documents left, the one that comes nearest to what is missing; not if rows that repeat it overshoot
-    left = _ranked(sized, sources, most).where(f"__pl_p > 0 and not {_taken(_CUTS)} and __pl_size < 2 * __pl_gap")
-    own = F.struct("__pl_id", "__pl_size", "__pl_hash").alias("own")
-    fill = left.groupBy("__pl_source").agg(F.min(F.struct(F.abs(F.col("__pl_size") - F.col("__pl_gap")).alias("far"), "__pl_place", own)).alias("best")).select("__pl_source", F.col("best.own").alias("__pl_fill"))
-    tried = stage(_with(sources.drop("__pl_fill"), fill), "tried")
-    n = _ranked(sized, tried, most).where(_FILLS).groupBy("__pl_source").agg(F.sum("__pl_size").alias("n"), F.max("__pl_gap").alias("gap")).where("abs(n - gap) < gap")
-    kept = _with(tried, n.select("__pl_source", "n")).withColumn("__pl_fill", F.when(F.col("n").isNotNull(), F.col("__pl_fill"))).drop("n", "__pl_gap")
-    return stage(kept, "plan")
+    left = _ranked(sized, sources.table(), most).where(f"__pl_p > 0 and not {_TAKEN} and __pl_size < 2 * __pl_gap")
+    own = F.struct(F.col("__pl_id").alias("id"), F.col("__pl_size").alias("size"), F.col("__pl_hash").alias("hash"))
+    best = left.groupBy("__pl_source").agg(F.min(F.struct(F.abs(F.col("__pl_size") - F.col("__pl_gap")).alias("far"), "__pl_place", own.alias("fill"))).alias("best"))
+    sources.learn(best.select("__pl_source", "best.fill"), "fill")
+    n = _ranked(sized, sources.table(), most).where(_FILLS).groupBy("__pl_source", "__pl_gap").agg(F.sum("__pl_size").alias("n"))
+    sources.learn(n, "n")
+    for r in sources.known.values():
+        if not abs(r.get("n", 0) - r["gap"]) < r["gap"]:
+            r["fill"] = None
+    return sources.table()
 
 
 def _with_copies(sized: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """Adds __pl_copies, told from the row itself and what is known of its source."""
     rows = _ranked(sized, sources, most)
-    return rows.withColumn("__pl_copies", F.expr(f"cast(__pl_whole + if({_taken(_CUTS)} or {_FILLS}, 1, 0) as bigint)"))
+    return rows.withColumn("__pl_copies", F.expr(f"cast(__pl_whole + if({_TAKEN} or {_FILLS}, 1, 0) as bigint)"))
 
 
 def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -135,12 +135,10 @@ def test_mixing_ranks_by_odds(spark):
         left = target - sum(int(r["__pl_expected"]) * r["__pl_size"] for r in mine)
         taken = {r["__pl_id"]: int(r["__pl_expected"]) for r in mine}
         ranks = sorted((r for r in mine if r["__pl_p"] > 0), key=lambda r: (r["__pl_u"] / (1 - r["__pl_u"])) / (r["__pl_p"] / (1 - r["__pl_p"])))
-        for _ in range(2):
-            ranks = [r for r in ranks if r["__pl_size"] <= left]
-            while ranks and ranks[0]["__pl_size"] <= left:
-                r = ranks.pop(0)
-                taken[r["__pl_id"]] += 1
-                left -= r["__pl_size"]
+        while ranks[0]["__pl_size"] <= left:
+            r = ranks.pop(0)
+            taken[r["__pl_id"]] += 1
+            left -= r["__pl_size"]
         more = [d for d in taken if taken[d] != got[d]["copies"]]
         assert len(more) <= 1 and all(got[d]["copies"] == taken[d] + 1 for d in more)
         assert abs(sum(got[d]["taken"] for d in taken) - target) <= 3
@@ -354,7 +352,7 @@ def test_mixing(docs, rows, none):
         largest[s] = max(largest[s], r["size"])
     for s in size:
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
-        assert abs(taken[s] - target[s]) <= 3 or largest[s] > target[s] / 4  # few large documents can't be dealt finer
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] or largest[s] > target[s] / 4  # few large documents can't be dealt finer
     same(mixing.mix(docs.repartition(3)), ["doc_id", "taken"], [(r["doc_id"], r["taken"]) for r in got])
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
