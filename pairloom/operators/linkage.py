@@ -1,14 +1,11 @@
-"""Clusters of the pair graph, one-to-one assignment, link sets, and the penalised path."""
+"""Clusters of the pair graph, one-to-one assignment, changes between link sets, and traces."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.operators import patterns as P
 from pairloom.operators.graph import connected_components
 from pairloom.plans.staging import stage
 
@@ -41,12 +38,20 @@ def blocks(weights: DataFrame, max_pairs: int, threshold: float, step: float) ->
 
     Labels are (smallest row_id at the component's own threshold); only oversized components go into another round.
     """
+    if step <= 0:
+        raise ValueError("step has to be above 0")
+    # beyond the largest finite weight no threshold parts a component
+    top = weights.where(F.col("w") < float("inf")).agg(F.max("w")).first()[0]
     todo, done = weights.where(F.col("w") > threshold), None
     while True:
         labelled = stage(bipartite_components(todo), "blocks")
         large = component_sizes(labelled).where(F.col("n_rows") * F.col("n_cols") > max_pairs).select("label")
         ready = labelled.join(large, "label", "left_anti").select("row_id", "col_id", "w", "label", F.lit(threshold).alias("threshold"))
         done = ready if done is None else done.unionByName(ready)
+        if top is None or threshold > top:
+            if not large.isEmpty():
+                raise ValueError("a component of infinite weights has too many pairs")
+            return done
         threshold += step
         todo = stage(labelled.join(large, "label", "left_semi").select("row_id", "col_id", "w").where(F.col("w") > threshold), "oversized")
         if todo.isEmpty():
@@ -207,57 +212,9 @@ def bayes_estimate(counts: DataFrame, nsteps: int) -> DataFrame:
     return counts.where(F.col("n") > nsteps / 2).select("row_id", "col_id")
 
 
-def penalized_fit(pairs: DataFrame, nlevels: list[int], p_m, p_u, prior_m, prior_u, penalty: float, max_iter: int = 30, solver: str = "hungarian") -> dict:
-    """Alternate the best matching under a penalty and the modes given it, until the modes stay; priors above 1."""
-    pairs_ = pairs
-    total = _level_vector(P.level_counts(P.patterns(pairs_), nlevels), nlevels)
-    p_m, p_u = np.asarray(p_m, dtype=float), np.asarray(p_u, dtype=float)
-    links = None
-    for step in range(1, max_iter + 1):
-        weights = P.pair_weights(pairs_, P.split_fields(p_m, nlevels), P.split_fields(p_u, nlevels), penalty)
-        links = stage(assign(weights, solver), "links")
-        linked = _level_vector(P.link_level_counts(links, pairs_), nlevels)
-        new_m, new_u = P.max_mu(linked, total, nlevels, np.asarray(prior_m) - 1, np.asarray(prior_u) - 1)
-        settled = np.allclose(new_m, p_m, atol=1e-12, rtol=0) and np.allclose(new_u, p_u, atol=1e-12, rtol=0)
-        p_m, p_u = new_m, new_u
-        if settled:
-            break
-    return {"links": links, "p_m": p_m, "p_u": p_u, "iterations": step, "converged": settled}
-
-
 def _level_vector(counts: DataFrame, nlevels: list[int]) -> np.ndarray:
     start = np.concatenate([[0], np.cumsum(nlevels)[:-1]])
     out = np.zeros(sum(nlevels))
     for r in counts.collect():
         out[start[r["field"] - 1] + r["level"] - 1] = r["n"]
     return out
-
-
-def penalized_path(pairs: DataFrame, nlevels: list[int], p_m, p_u, prior_m, prior_u, penalty: float = 0.0, mininc: float = 0.1, max_steps: int = 50, **options) -> Iterator[dict]:
-    """Fits under rising penalties, each started from the one before, until no pattern weighs more than the penalty.
-
-    ``n_above``: the patterns that weigh more than a fit's penalty and ``mininc``; where the last fit has any, ``max_steps`` cut the path.
-    """
-    pats = stage(P.patterns(pairs), "patterns")
-    for _ in range(max_steps):
-        fit = penalized_fit(pairs, nlevels, p_m, p_u, prior_m, prior_u, penalty, **options)
-        p_m, p_u = fit["p_m"], fit["p_u"]
-        weights = [r["w"] for r in P.maximum_weights(pats, [(P.split_fields(p_m, nlevels), P.split_fields(p_u, nlevels))]).collect()]
-        next_, n_above = next_penalty(weights, penalty, mininc)
-        yield fit | {"penalty": penalty, "n_above": n_above}
-        penalty = next_
-        if not n_above:
-            return
-
-
-def next_penalty(weights: list[float], penalty: float, mininc: float, frac: float = 0.5) -> tuple[float, int]:
-    """The next penalty and how many pattern weights are above penalty + mininc (none: that sum).
-
-    It lies ``frac`` of the way between the weights on both sides of the sum, and not below the sum.
-    """
-    least = penalty + mininc
-    above = [w for w in weights if w > least]
-    if not above:
-        return least, 0
-    below = max((w for w in weights if penalty < w <= least), default=penalty)
-    return max(least, below + frac * (min(above) - below)), len(above)

@@ -85,6 +85,70 @@ def minimum_margin(values: DataFrame, column: str, least: float = 0.0, digits: i
     return max(least, min((b - a for a, b in zip(x, x[1:])), default=least))
 
 
+def pair_maximum_weights(pairs: DataFrame, params: list[tuple]) -> DataFrame:
+    """(row_id, col_id, w): each pair's largest weight over several (pM, pU)."""
+    ws = [weight("gamma", m, u) for m, u in params]
+    return pairs.select("row_id", "col_id", (F.greatest(*ws) if len(ws) > 1 else ws[0]).alias("w"))
+
+
+def edges_above(pairs: DataFrame, p_m, p_u, penalty: float) -> DataFrame:
+    """(row_id, col_id) of pairs that weigh more than the penalty."""
+    return pairs.where(weight("gamma", p_m, p_u) > penalty).select("row_id", "col_id")
+
+
+def pair_costs(pairs: DataFrame, p_m, p_u, penalty: float = 0.0, shrunk: bool = False) -> DataFrame:
+    """``costs`` of weights less the penalty: pairs at or below it cost as much as no link."""
+    return costs(pairs.select("row_id", "col_id", (weight("gamma", p_m, p_u) - penalty).alias("w")), shrunk)
+
+
+def check_candidates(pairs: DataFrame) -> DataFrame:
+    """``pairs`` as they are; a ValueError if a pair is there twice or fields differ in number."""
+    twice = pairs.groupBy("row_id", "col_id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"pair ({twice[0][0]}, {twice[0][1]}) is there more than once")
+    if pairs.select(F.size("gamma")).distinct().limit(2).count() > 1:
+        raise ValueError("pairs have different numbers of fields")
+    return pairs
+
+
+def match_counts(links: DataFrame, pairs: DataFrame, nlevels: list[int], above: tuple | None = None) -> DataFrame:
+    """(field, level, n, n_obs) for every level, zeros too: links at the level, and in the field with any.
+
+    ``above``: (pM, pU, threshold); only links whose pattern weighs more than the threshold count.
+    """
+    kept = pairs if above is None else pairs.where(weight("gamma", above[0], above[1]) > above[2])
+    every = pairs.sparkSession.createDataFrame([(k + 1, v) for k, n in enumerate(nlevels) for v in range(1, n + 1)], "field int, level int")
+    counts = every.join(link_level_counts(links, kept), ["field", "level"], "left").select("field", "level", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.withColumn("n_obs", F.sum("n").over(Window.partitionBy("field")))
+
+
+def link_modes(links: DataFrame, pairs: DataFrame, pats: DataFrame, nlevels: list[int], pseudo: float = 0.0, above: tuple | None = None) -> DataFrame:
+    """(field, level, p_m, p_u): ``max_mu`` as a table, from links (those above a weight with ``above``) and pattern counts."""
+    both = match_counts(links, pairs, nlevels, above).join(level_counts(pats, nlevels).withColumnRenamed("n", "total"), ["field", "level"])
+    each = Window.partitionBy("field")
+    def share(n: Column) -> Column:
+        top = F.sum(n + pseudo).over(each)
+        return F.when(top > 0, (n + pseudo) / top).otherwise(1 / F.count(F.lit(1)).over(each))
+
+    return both.select("field", "level", share(F.col("n")).alias("p_m"), share(F.col("total") - F.col("n")).alias("p_u"))
+
+
+def prior_modes(spark, prior: list[list[float]]) -> DataFrame:
+    """(field, level, p): a prior's shares by field."""
+    rows = spark.createDataFrame([(k + 1, v, float(x)) for k, xs in enumerate(prior) for v, x in enumerate(xs, 1)], "field int, level int, x double")
+    return rows.select("field", "level", (F.col("x") / F.sum("x").over(Window.partitionBy("field"))).alias("p"))
+
+
+def nonzero_counts(table: DataFrame, value: str = "counts") -> DataFrame:
+    """(row_id, col_id, n) or (row_id, col_id, stage, n) of the nonzero cells of rows (row_id, array) or (row_id, array of arrays), from 1."""
+    nested = table.schema[value].dataType.elementType.typeName() == "array"
+    cells = table.select("row_id", F.posexplode(value).alias("c", "x"))
+    if nested:
+        cells = cells.select("row_id", "c", F.posexplode("x").alias("s", "x"))
+    at = [(F.col("c") + 1).alias("col_id")] + ([(F.col("s") + 1).alias("stage")] if nested else [])
+    return cells.where("x <> 0").select("row_id", *at, F.col("x").alias("n"))
+
+
 def link_level_counts(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """(field, level, n) over linked pairs, missing levels left out."""
     one = links.join(pairs, ["row_id", "col_id"]).groupBy("gamma").count().select(F.posexplode("gamma").alias("k", "level"), "count")
@@ -123,8 +187,14 @@ def midpoints(values: DataFrame, column: str) -> DataFrame:
     return values.select(column).distinct().select(((F.col(column) + F.lead(column).over(step)) / 2).alias("mid")).where("mid IS NOT NULL")
 
 
+#: Pattern tables are bounded by the product of (levels + 1); larger ones are refused where they would come to the driver.
+MAX_PATTERNS = 1_000_000
+
+
 def collected(pats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Gammas and counts of a pattern table: bounded by the levels, not by the data."""
+    """Gammas and counts of a pattern table, by gamma: bounded by the levels, not by the data."""
+    if pats.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns: use fewer fields or levels")
     rows = sorted((tuple(r["gamma"]), r["n"]) for r in pats.select("gamma", "n").collect())
     return np.array([g for g, _ in rows], dtype=int), np.array([n for _, n in rows], dtype=float)
 
@@ -151,6 +221,25 @@ def prior_mean(prior: np.ndarray, nlevels: list[int]) -> np.ndarray:
     return _normalised(np.asarray(prior, dtype=float), nlevels)
 
 
+def e_step(pats: DataFrame, p_m, p_u, p: float) -> DataFrame:
+    """(pattern_id, gamma, n, g_m, g_u): each pattern's share of matches and of others."""
+    odds = F.lit(math.log(p / (1 - p))) + weight("gamma", p_m, p_u)
+    return pats.select("pattern_id", "gamma", "n", (1 / (1 + F.exp(-odds))).alias("g_m")).withColumn("g_u", 1 - F.col("g_m"))
+
+
+def m_step(shares: DataFrame, nlevels: list[int], pseudo: float | None = None) -> tuple[DataFrame, float]:
+    """(field, level, p_m, p_u) and the share of matches, given ``e_step``, with ``pseudo`` counts (1 / levels by default)."""
+    start = [(k + 1, v, 1 / n if pseudo is None else pseudo) for k, n in enumerate(nlevels) for v in range(1, n + 1)]
+    every = shares.sparkSession.createDataFrame(start, "field int, level int, extra double")
+    one = shares.select(F.posexplode("gamma").alias("k", "level"), (F.col("n") * F.col("g_m")).alias("m"), (F.col("n") * F.col("g_u")).alias("u"))
+    seen = one.groupBy((F.col("k") + 1).alias("field"), "level").agg(F.sum("m").alias("m"), F.sum("u").alias("u"))
+    both = every.join(seen, ["field", "level"], "left")
+    each = Window.partitionBy("field")
+    part = lambda c: (F.coalesce(c, F.lit(0.0)) + F.col("extra")) / F.sum(F.coalesce(c, F.lit(0.0)) + F.col("extra")).over(each)
+    share = shares.agg(F.sum(F.col("n") * F.col("g_m")) / F.sum("n")).first()[0]
+    return both.select("field", "level", part("m").alias("p_m"), part("u").alias("p_u")), share
+
+
 def estimate_em(pats: DataFrame, p_m: np.ndarray, p_u: np.ndarray, p: float, nlevels: list[int], pseudo: float | None = None, tol: float = 1e-6, max_iter: int = 5000) -> dict:
     """Two-class mixture by EM on the pattern table, with ``pseudo`` counts (1 / levels by default)."""
     gammas, n = collected(pats)

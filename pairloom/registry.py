@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom import registry_more
 from pairloom.functions import columns as C
-from pairloom.operators import linkage as L, mcmc, patterns as P
-from pairloom.plans.staging import new_path
+from pairloom.operators import blocks as B, linkage as L, mcmc, patterns as P
+from pairloom.plans.staging import new_path, stage
 from pairloom.sources import store
 
 FLAGSHIP = "patterns_customer_supplier"
@@ -55,15 +57,10 @@ def _em(spark, d):
     return spark.createDataFrame([(f, v, float(m), float(u)) for (f, v), m, u in zip(at, fit["p_m"], fit["p_u"])], "field int, level int, p_m double, p_u double")
 
 
-def _path(spark, d):
-    one = np.full(sum(NLEVELS), 1.01)
-    found = L.penalized_path(pairs(spark, d), NLEVELS, np.concatenate(P_M), np.concatenate(P_U), one, one, mininc=2.0)
-    return spark.createDataFrame([(float(f["penalty"]), f["links"].count(), f["iterations"], f["converged"], f["n_above"]) for f in found], "penalty double, n_links long, iterations int, converged boolean, n_above int")
-
-
 def _sampled(spark, d, sampler, kernel):
-    at = L.bipartite_components(_weights(spark, d, 1.0)).select("row_id", "col_id", "label")
-    inside = pairs(spark, d).join(at, ["row_id", "col_id"])
+    """Chains over all stored pairs whose row and column share a component; levels are counted over all pairs."""
+    nodes = stage(B.labelled_nodes(L.bipartite_components(_weights(spark, d, 1.0))), "nodes")
+    inside = B.inside_blocks(pairs(spark, d), nodes)
     totals = L._level_vector(P.level_counts(P.patterns(pairs(spark, d)), NLEVELS), NLEVELS)
     n = inside.select("row_id").distinct().count()
     return sampler(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2, kernel=kernel)
@@ -75,6 +72,11 @@ def _stored(spark, d):
     return store.read_summary(spark, path)["pairs"]
 
 
+def _indexed(found: DataFrame, nrow: int) -> DataFrame:
+    index = found.select(C.pair_to_index(F.col("row_id") + 1, F.col("col_id") + 1, nrow).alias("index"))
+    return index.select("index", *[c.cast("long").alias(n) for n, c in zip(("row_back", "col_back"), C.index_to_pair(F.col("index"), nrow))])
+
+
 def _first_links(spark, d, k: int) -> DataFrame:
     """One column for each customer."""
     return _links(spark, d, k).groupBy("row_id").agg(F.min("col_id").alias("col_id"))
@@ -84,16 +86,6 @@ def _same_number(spark, d) -> DataFrame:
     return pairs(spark, d).where("row_id = col_id").select("row_id", "col_id")
 
 
-def _sensitivity(spark, d):
-    w = _weights(spark, d).cache()
-    cuts = [0.5, 2.5, 4.5]
-    out = None
-    for t in cuts:
-        one = L.summarise(L.component_sizes(L.bipartite_components(w.where(F.col("w") > t)))).withColumn("threshold", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 _PAIRS = """WITH a AS (SELECT c_custkey, c_nationkey, regexp_replace(c_name, '^[^#]*#0*', '') AS x, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS p FROM customer),
  b AS (SELECT s_suppkey, s_nationkey, regexp_replace(s_name, '^[^#]*#0*', '') AS y, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS q FROM supplier),
  s AS (SELECT c_custkey AS row_id, s_suppkey AS col_id, 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE AS sim, abs(p - q) AS gap FROM a JOIN b ON c_nationkey = s_nationkey),
@@ -131,8 +123,8 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f"{_WEIGHTS}, k AS (SELECT row_id, col_id, (SELECT greatest(max(w), 0) FROM w) - greatest(w, 0) AS cost FROM w) SELECT row_id, col_id, round(cost - min(cost) OVER (PARTITION BY row_id), 6) AS cost FROM k",
     ),
     "merge_candidates": (
-        lambda s, d: P.merge_candidates(pairs(s, d).where("row_id % 3 <> 0"), pairs(s, d).where("row_id % 2 = 0"))[0].select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
-        f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 3 <> 0 UNION SELECT row_id, col_id, g1, g2 FROM pairs WHERE row_id % 2 = 0",
+        lambda s, d: P.merge_candidates(pairs(s, d).where("gamma[0] < 4"), pairs(s, d).where("gamma[0] > 2"))[0].select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
+        f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs WHERE g1 < 4 UNION SELECT row_id, col_id, g1, g2 FROM pairs WHERE g1 > 2",
     ),
     "components": (lambda s, d: L.bipartite_components(_weights(s, d, 1.0)).select("row_id", "col_id", "label"), f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
     "component_summary": (
@@ -143,9 +135,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "blocks": (lambda s, d: L.blocks(_weights(s, d), 30, 0.5, 1.0), None),
     "assign_hungarian": (lambda s, d: L.assign(_weights(s, d, 1.0)), None),
     "assign_auction": (lambda s, d: L.assign(_weights(s, d, 1.0), "auction"), None),
-    "threshold_sensitivity": (_sensitivity, None),
     "em": (_em, None),
-    "penalized_path": (_path, None),
     "mcmc_trace": (lambda s, d: _sampled(s, d, mcmc.sample, "barker"), None),
     "mcmc_trace_uniform": (lambda s, d: _sampled(s, d, mcmc.sample, "uniform+gibbs"), None),
     "mcmc_trace_open_column": (lambda s, d: _sampled(s, d, mcmc.sample, "open_column"), None),
@@ -213,8 +203,8 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         lambda s, d: _weights(s, d).select("row_id", "col_id", F.round(C.shrink(F.col("w"), 1.0), 6).alias("w")), f"{_WEIGHTS} SELECT row_id, col_id, round(greatest(w - 1, 0), 6) AS w FROM w",
     ),
     "pair_index": (
-        lambda s, d: _same_number(s, d).withColumn("index", C.pair_to_index(F.col("row_id"), F.col("col_id"), 1000)).select("index", *[c.cast("long").alias(n) for n, c in zip(("row_back", "col_back"), C.index_to_pair(F.col("index"), 1000))]),
-        f'{_PAIRS} SELECT (col_id - 1) * 1000 + row_id AS "index", ((col_id - 1) * 1000 + row_id - 1) % 1000 + 1 AS row_back, ((col_id - 1) * 1000 + row_id - 1) // 1000 + 1 AS col_back FROM pairs WHERE row_id = col_id',
+        lambda s, d: _indexed(pairs(s, d), _t(s, d, "customer").agg(F.max("c_custkey") + 1).first()[0]),
+        f'{_PAIRS}, n AS (SELECT max(c_custkey) + 1 AS n FROM customer) SELECT col_id * n + row_id + 1 AS "index", row_id + 1 AS row_back, col_id + 1 AS col_back FROM pairs, n',
     ),
     "weight_midpoints": (
         lambda s, d: _rounded(P.midpoints(_rounded(P.maximum_weights(P.patterns(pairs(s, d)), [(P_M, P_U)]), "w"), "w"), "mid"),
@@ -257,6 +247,9 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 }
 
 
+_Q |= registry_more.build(sys.modules[__name__])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _Q.items()}
 

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pairloom import registry
-from pairloom.operators import linkage, mcmc
+from pairloom.operators import blocks, linkage, links, mcmc, patterns, search
 from pairloom.sources import store
 
 SF = "/root/testdata/sf0.001"
@@ -34,9 +34,163 @@ def test_sql(spark, name):
     assert rows(df.select(*names).collect()) == rows(want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_others_run(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+def matching_total(weight):
+    """Largest total of a partial matching: by component, over the sets of columns taken by its rows so far."""
+    total, label, rows_of, cols_of = 0.0, components(weight), {}, {}
+    for r, c in weight:
+        rows_of.setdefault(label["r", r], set()).add(r)
+        cols_of.setdefault(label["r", r], set()).add(c)
+    for k, members in rows_of.items():
+        best = {frozenset(): 0.0}
+        for r in members:
+            step = dict(best)
+            for taken, t in best.items():
+                for c in cols_of[k] - taken:
+                    w = weight.get((r, c), 0.0)
+                    if w > 0:
+                        step[taken | {c}] = max(step.get(taken | {c}, 0.0), t + w)
+            best = step
+        total += max(best.values())
+    return total
+
+
+@pytest.mark.parametrize("name", ["assign_hungarian", "assign_auction"])
+def test_assignments(spark, name):
+    got = registry.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    weight = {(r["row_id"], r["col_id"]): r["w"] for r in registry._weights(spark, "/root/testdata/sf0.01", 1.0).collect()}
+    assert len({r["row_id"] for r in got}) == len({r["col_id"] for r in got}) == len(got) > 10
+    assert all(weight[r["row_id"], r["col_id"]] == r["w"] for r in got)
+    assert sum(r["w"] for r in got) == pytest.approx(matching_total(weight), abs=1e-6)
+
+
+def test_blocks(spark):
+    sf = "/root/testdata/sf0.01"
+    got = [tuple(r) for r in registry.queries()["blocks"](spark, sf).collect()]
+    weight = {(r["row_id"], r["col_id"]): r["w"] for r in registry._weights(spark, sf).collect()}
+    by = {}
+    for r, c, w, label, threshold in got:
+        assert weight[r, c] == w > threshold
+        by.setdefault((label, threshold), set()).add((r, c))
+    for members in by.values():
+        assert len({r for r, _ in members}) * len({c for _, c in members}) <= 30
+        label = components(members)
+        assert len(set(label.values())) == 1
+    assert len({r[:2] for r in got}) == len(got)
+    # blocks of one row or column with another threshold don't share records
+    rows_of = [(k, {r for r, _ in m}) for k, m in by.items()]
+    assert all(not (a & b) for (ka, a), (kb, b) in itertools.combinations(rows_of, 2) if ka[1] == kb[1])
+    with pytest.raises(ValueError):
+        linkage.blocks(registry._weights(spark, SF), 30, 0.5, 0.0)
+    endless = spark.createDataFrame([(i, j, math.inf) for i in range(3) for j in range(3)], "row_id long, col_id long, w double")
+    with pytest.raises(ValueError):
+        linkage.blocks(endless, 4, 0.0, 1.0)
+
+
+def components(edges):
+    root = {}
+    for r, c in edges:
+        for x in (("r", r), ("c", c)):
+            root.setdefault(x, x)
+    for r, c in list(edges) * len(edges):
+        low = min(root["r", r], root["c", c])
+        root["r", r] = root["c", c] = low
+    return root
+
+
+def test_em_settles_where_a_step_changes_nothing(spark):
+    pats = patterns.patterns(registry.pairs(spark, "/root/testdata/sf0.01"))
+    fit = patterns.estimate_em(pats, np.concatenate(registry.P_M), np.concatenate(registry.P_U), 0.01, registry.NLEVELS, tol=1e-10)
+    table, p = patterns.m_step(patterns.e_step(pats, patterns.split_fields(fit["p_m"], registry.NLEVELS), patterns.split_fields(fit["p_u"], registry.NLEVELS), fit["p"]), registry.NLEVELS)
+    got = sorted(table.collect())
+    assert fit["converged"] and p == pytest.approx(fit["p"], abs=1e-8)
+    assert [r["p_m"] for r in got] == pytest.approx(list(fit["p_m"]), abs=1e-7) and [r["p_u"] for r in got] == pytest.approx(list(fit["p_u"]), abs=1e-7)
+
+
+@pytest.mark.parametrize("name", ["mcmc_trace", "mcmc_trace_uniform", "mcmc_trace_open_column"])
+def test_traces_are_one_to_one(spark, name):
+    got = registry.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    inside = {(r["row_id"], r["col_id"]) for r in registry.queries()["inside_blocks"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) > 10 and {(r["row_id"], r["col_id"]) for r in got} <= inside
+    for step in (1, 57, 200):
+        for chain in (1, 2):
+            now = [r for r in got if r["chain_id"] == chain and r["start"] <= step <= r["stop"]]
+            assert len({r["row_id"] for r in now}) == len({r["col_id"] for r in now}) == len(now)
+
+
+def test_chain_counts_and_parameters(spark):
+    sf = "/root/testdata/sf0.01"
+    counts = registry.queries()["mcmc_counts"](spark, sf).collect()
+    assert counts and all(1 <= r["n"] <= 200 for r in counts)
+    for r in registry.queries()["mcmc_parameters"](spark, sf).collect():
+        assert len(r["p_m"]) == len(r["p_u"]) == 7 and sum(r["p_m"][:4]) == pytest.approx(1) and sum(r["p_u"][4:]) == pytest.approx(1)
+
+
+def plain_search(spark, sf, mininc, prior=1.01):
+    """The path over the whole matrix of pairs, in plain loops, by the Hungarian kernel."""
+    found = registry.pairs(spark, sf).collect()
+    rows_, cols = sorted({r["row_id"] for r in found}), sorted({r["col_id"] for r in found})
+    gamma = {(rows_.index(r["row_id"]), cols.index(r["col_id"])): tuple(r["gamma"]) for r in found}
+    n = Counter(gamma.values())
+    at = {(0, v): v - 1 for v in range(1, 5)} | {(1, v): 3 + v for v in range(1, 4)}
+    levels = lambda g: [at[k, v] for k, v in enumerate(g) if v]
+
+    def modes(linked):
+        m, u = np.full(7, prior - 1), np.full(7, prior - 1)
+        for g, k in n.items():
+            for i in levels(g):
+                m[i] += linked[g]
+                u[i] += k - linked[g]
+        return [np.concatenate([x[:4] / x[:4].sum(), x[4:] / x[4:].sum()]) for x in (m, u)]
+
+    m, u, penalty, out = np.concatenate(registry.P_M), np.concatenate(registry.P_U), 0.0, []
+    while True:
+        while True:
+            w = {g: sum(math.log(m[i] / u[i]) for i in levels(g)) for g in n}
+            mat = np.zeros((len(rows_), len(cols)))
+            for (i, j), g in gamma.items():
+                mat[i, j] = max(0.0, w[g] - penalty)
+            linked = Counter(gamma[x] for x in linkage.hungarian(mat))
+            new = modes(linked)
+            settled = np.allclose(new[0], m, atol=1e-12) and np.allclose(new[1], u, atol=1e-12)
+            m, u = new
+            if settled:
+                break
+        w = {g: sum(math.log(m[i] / u[i]) for i in levels(g)) for g in n}
+        after, above = search.next_penalty(list(w.values()), penalty, mininc, matched=[w[g] for g in linked if linked[g]])
+        out.append((round(penalty, 5), sum(linked.values()), above))
+        if not above:
+            return out
+        m, u = modes(Counter({g: k for g, k in linked.items() if w[g] > after}))
+        penalty = after
+
+
+def test_path_as_the_plain_version(spark):
+    got = sorted(registry.queries()["penalized_path"](spark, SF).collect())
+    assert [(round(r["penalty"], 5), r["n_links"], r["n_above"]) for r in got] == plain_search(spark, SF, 0.1)
+    assert all(r["converged"] for r in got) and got[-1]["n_above"] == 0
+    trace = registry.queries()["penalized_trace"](spark, SF).collect()  # by auction: as many links at each step
+    for r in got:
+        assert sum(t["start"] <= r["step"] <= t["stop"] for t in trace) == r["n_links"]
+
+
+def test_fits_settle_by_counts_too(spark):
+    prior = np.full(7, 1.01)
+    a, b = (search.fit(registry.pairs(spark, SF), registry.NLEVELS, np.concatenate(registry.P_M), np.concatenate(registry.P_U), prior, prior, 1.0, settle=s) for s in ("parameters", "counts"))
+    assert a["converged"] and b["converged"] and a["counts"].tolist() == b["counts"].tolist() and np.allclose(a["p_m"], b["p_m"])
+
+
+def test_link_constructors_refuse_what_is_not_one_to_one(spark):
+    make = lambda *r: spark.createDataFrame(list(r), "row_id long, col_id long")
+    for bad in (make((1, 1), (1, 2)), make((1, 1), (2, 1)), make((None, 1)), make((0, 1)), make((1, 9))):
+        with pytest.raises(ValueError):
+            links.checked_links(bad, 5, 5)
+    with pytest.raises(ValueError):
+        links.links_from_maps(make((1, 1), (2, 0)), make((2, 1)))
+    assert links.checked_links(make(), 5, 5).count() == 0
+    with pytest.raises(ValueError):
+        patterns.check_candidates(spark.createDataFrame([(1, 1, [1]), (1, 1, [2])], "row_id long, col_id long, gamma array<int>"))
+    with pytest.raises(ValueError):
+        blocks.component_ranges(spark.createDataFrame([("row", 1, 1), ("row", 2, 2), ("row", 3, 1)], "side string, id long, label long"))
 
 
 def brute(w):
@@ -108,21 +262,20 @@ def test_counts_follow_the_moves():
 
 
 def test_next_penalty():
-    assert linkage.next_penalty([0.5, 1.0, 2.0, 4.0], 0.0, 1.0) == (1.5, 2)
-    assert linkage.next_penalty([0.5, 1.0], 0.0, 1.0) == (1.0, 0)
-    assert linkage.next_penalty([], 2.0, 0.5) == (2.5, 0)
-
-
-def test_registered_path_runs_to_its_end(spark):
-    path = sorted(registry.queries()["penalized_path"](spark, "/root/testdata/sf0.01").collect(), key=lambda r: r["penalty"])
-    assert [round(r["penalty"], 2) for r in path] == [0.0, 2.0, 4.0, 7.22, 10.23, 12.23]
-    assert all(r["converged"] and r["n_above"] > 0 for r in path[:-1]) and path[-1]["converged"] and path[-1]["n_above"] == 0
+    n = search.next_penalty
+    assert n([0.5, 1.0, 2.0, 4.0], 0.0, 1.0) == (1.5, 2)
+    assert n([0.5, 1.0], 0.0, 1.0) == (1.0, 0) and n([], 2.0, 0.5) == (2.5, 0)
+    assert n([3.0], 0.0, 1.0) == (3.0, 0) and n([3.0, 4.0], 0.0, 1.0) == (3.5, 1)
+    # past the least weight of a linked pattern
+    assert n([1.0, 2.0, 3.0, 5.0], 0.0, 0.1, matched=[3.0, 5.0]) == (4.0, 1)
+    assert n([1.0, 2.0], 0.0, 0.1, matched=[]) == (0.1, 0) and n([1.0, 2.0], 0.0, 2.0, matched=[2.0]) == (2.0, 0)
+    assert n([1.0, 2.0], 0.0, 0.5, matched=[-1.0, 2.0]) == (0.5, 2)
 
 
 def test_links_are_added_only_where_free(spark):
-    links = spark.createDataFrame([(1, 1), (2, 3)], "row_id long, col_id long")
+    now = spark.createDataFrame([(1, 1), (2, 3)], "row_id long, col_id long")
     wanted = spark.createDataFrame([(1, 2), (3, 3), (4, 4)], "row_id long, col_id long")
-    assert sorted(map(tuple, linkage.add_links(links, wanted).collect())) == [(1, 1), (2, 3), (4, 4)]
+    assert sorted(map(tuple, linkage.add_links(now, wanted).collect())) == [(1, 1), (2, 3), (4, 4)]
 
 
 def test_store(spark, tmp_path):
