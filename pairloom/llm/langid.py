@@ -18,7 +18,7 @@ Nulls and edge cases: null texts and texts without a letter get ``und``, score 0
 rejected; rows without a language aren't learned from; with nothing to learn from, every
 text is ``und``; a language with few texts takes the distances of all; with no held-out
 text at all, nothing with a letter is rejected; repeated rows are predicted alike; other
-columns are kept as they are.
+columns are kept as they are, and where one is called prediction, the result is prediction_2.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.llm.names import free_name
 from pairloom.plans.staging import bound_batches
 
 _BITS = 14
@@ -211,9 +212,9 @@ def fit(docs: DataFrame, use: Column, per_language: int = 400, clusters: int = 3
 
 
 def predict(docs: DataFrame, model: CentroidModel, text: str = "text", to: str = "prediction") -> DataFrame:
-    """All columns of ``docs`` and ``to``: struct of lang_pred, score and rejected."""
-
+    """All columns of ``docs`` and ``to`` (or the first such name that is free): struct of lang_pred, score and rejected."""
     bound_batches(docs.sparkSession)
+
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
@@ -221,7 +222,7 @@ def predict(docs: DataFrame, model: CentroidModel, text: str = "text", to: str =
             columns = list(zip(*rows)) or [()] * 3
             yield pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn(to, apply(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs.columns, to), apply(F.col(text).cast("string")))
 
 
 def drop_rejected(docs: DataFrame, use: Column, **options) -> DataFrame:

@@ -3,9 +3,12 @@
 A logistic model over the distinct words of a text.  Besides the labelled texts it sees,
 for every text that names a group, the text with the group's terms swapped for those of
 a counterpart; the squared difference of the two scores (in log odds) is penalised, so
-that naming a group doesn't move the score.  An L1 penalty keeps words that tell nothing
-out of the model, and a threshold is calibrated on part of the training rows: the score
-is scaled so that the wanted precision is met where the score is 0.7.
+that naming a group doesn't move the score.  An L1 penalty keeps other words that tell
+nothing out of the model; terms for groups are left to the penalty on score changes alone,
+and are features however rare they are.  The log odds are scaled to probabilities on part of
+the training rows, and shifted so that the wanted precision is met where the score is 0.7.
+
+``swap_report`` tells, for texts, how much scores change when groups are swapped.
 
 Fitting uses a bounded sample of labelled rows (``max_rows``, chosen by a hash of
 doc_id); scoring covers all rows and whole texts.
@@ -13,7 +16,8 @@ doc_id); scoring covers all rows and whole texts.
 Nulls and edge cases: null and empty texts get the score of a text without words; rows
 without a label aren't learned from; rows repeated in documents or labels count as often
 as they pair; with no labels of both kinds every score is the share of label 1 (0.5 when
-there are none); other columns are kept as they are.
+there are none); other columns are kept as they are, and where one has the name of the
+score's column already, that becomes score_2, or the first such name that is free.
 """
 
 from __future__ import annotations
@@ -27,16 +31,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.llm.names import free_name
 from pairloom.plans.staging import bound_batches
 
-#: Terms for groups of people; each is swapped for the next one of its row.
+#: Terms for groups of people, in English, German, French and Spanish; each is swapped for the next one of its row.
 IDENTITY_TERMS = (
     ("he", "she"), ("him", "her"), ("his", "hers"), ("man", "woman"), ("men", "women"), ("boy", "girl"), ("boys", "girls"),
     ("father", "mother"), ("son", "daughter"), ("brother", "sister"), ("husband", "wife"), ("male", "female"),
-    ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino"), ("african", "european", "american"), ("immigrant", "native"), ("old", "young"), ("disabled", "blind", "deaf"),
+    ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+    ("black", "white", "asian", "latino"), ("african", "european", "american"), ("immigrant", "native"), ("immigrants", "natives"), ("old", "young"), ("disabled", "blind", "deaf"),
+    ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"), ("vater", "mutter"), ("schwul", "heterosexuell"), ("christ", "muslim", "jude"), ("christen", "muslime", "juden"), ("schwarze", "weiße"), ("ausländer", "einheimische"),
+    ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"), ("père", "mère"), ("homosexuel", "hétérosexuel"), ("chrétien", "musulman", "juif"), ("chrétiens", "musulmans", "juifs"), ("noir", "blanc", "arabe"), ("immigré", "natif"),
+    ("hombre", "mujer"), ("hombres", "mujeres"), ("niño", "niña"), ("padre", "madre"), ("homosexual", "heterosexual"), ("cristiano", "musulmán", "judío"), ("cristianos", "musulmanes", "judíos"), ("negro", "blanco"), ("inmigrante", "nativo"),
 )
-SWAP = {a: row[(k + 1) % len(row)] for row in IDENTITY_TERMS for k, a in enumerate(row)}
+#: A term of two rows keeps its counterpart in the first.
+SWAP = {a: row[(k + 1) % len(row)] for row in reversed(IDENTITY_TERMS) for k, a in enumerate(row)}
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS = 20
 _BLOCK = 1 << 20
@@ -114,7 +123,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
         share = 0.5 if not len(labels) else float(np.clip(labels.mean(), 0.01, 0.99))
         return ToxicityModel({}, float(np.log(share / (1 - share))))
     df = np.bincount(np.concatenate([f for f, _, _ in rows] + [s for _, s, _ in rows]), minlength=1 << _BITS)
-    kept = np.flatnonzero(df >= min_docs)
+    terms = np.zeros(1 << _BITS, dtype=bool)
+    terms[[feature_of(w) for w in SWAP]] = True
+    kept = np.flatnonzero((df >= min_docs) | (terms & (df > 0)))
+    penalty = np.where(terms[kept], 0.0, l1)
     place = np.full(1 << _BITS, -1)
     place[kept] = np.arange(len(kept))
     narrow = lambda f: (p := place[f])[p >= 0]
@@ -130,7 +142,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
         w, z, bias, zb, t, before = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0, 1.0, np.inf
         freq = df[kept] / max(1, len(rows))
         swaps = (a.t_dot(np.ones(a.n)) + b.t_dot(np.ones(b.n))) / max(1, len(pairs))
-        step = 1.0 / (fairness * swaps + 0.25 * np.sqrt(freq * max(1.0, float(np.mean(np.bincount(x.row, minlength=x.n))))) + 1e-3)
+        step = 1.0 / (4.0 * fairness * swaps + 0.25 * np.sqrt(freq * max(1.0, float(np.mean(np.bincount(x.row, minlength=x.n))))) + 1e-3)
         n = use.sum()
         for _ in range(rounds):
             p = _sigmoid(x.dot(z) + zb)
@@ -141,10 +153,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
             err = np.where(use, p - labels, 0.0) / n
             grad = x.t_dot(err)
             if len(pairs):
-                gap = (a.dot(z) - b.dot(z)) * (2 * fairness / len(pairs)) * 0.1
+                gap = (a.dot(z) - b.dot(z)) * (2 * fairness / len(pairs))
                 grad += a.t_dot(gap) - b.t_dot(gap)
             new = z - step * grad
-            new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+            new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
             new_bias = zb - 4.0 * err.sum()
             t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
             z, zb = new + (t - 1) / t_next * (new - w), new_bias + (t - 1) / t_next * (new_bias - bias)
@@ -155,6 +167,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
     scale, shift = 1.0, 0.0
     margin = x.dot(w) + bias
     held = check if len(rows) >= 200 else np.ones(len(rows), dtype=bool)
+    scale = _slope(margin[held], labels[held])
+    margin = scale * margin
     order = np.argsort(-margin[held], kind="stable")
     hits = np.cumsum(labels[held][order])
     good = np.flatnonzero(hits / np.arange(1, len(order) + 1) >= precision)
@@ -166,6 +180,34 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
     return ToxicityModel({int(k): float(v) for k, v in zip(kept, w) if v}, float(bias), scale, shift)
 
 
+def _slope(z: np.ndarray, y: np.ndarray) -> float:
+    """The factor, above 0, that turns log odds ``z`` into calibrated ones but for a shift: Newton steps on log loss."""
+    if y.min() == y.max():
+        return 1.0
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = _sigmoid(a * z + b)
+        w = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - y) * z).sum() + 1e-3 * (a - 1), (p - y).sum()])
+        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        move = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = a - float(move[0]), b - float(move[1])
+    return float(np.clip(a, 0.1, 20.0))
+
+
+def swapped(text: str) -> str:
+    """A text with every term for a group swapped for that of its counterpart, in lower case."""
+    return _WORD.sub(lambda m: SWAP.get(m[0].lower(), m[0]), text)
+
+
+def swap_report(model: ToxicityModel, texts: list[str], threshold: float = 0.7) -> dict[str, float]:
+    """For texts that name a group: mean change of score when groups are swapped, and the share whose side of the threshold changes."""
+    named = [t for t in texts if not SWAP.keys().isdisjoint(words_of(t))]
+    pairs = [(model.score(t), model.score(swapped(t))) for t in named]
+    n = max(1, len(pairs))
+    return {"texts": len(pairs), "mean_change": sum(abs(a - b) for a, b in pairs) / n, "flips": sum((a >= threshold) != (b >= threshold) for a, b in pairs) / n, "flagged": sum(a >= threshold for a, _ in pairs) / n}
+
+
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", max_rows: int = 8000, **options) -> ToxicityModel:
     """Learn ``label`` from labelled rows where ``use`` (over doc_id) holds, about ``max_rows`` of them."""
     bound_batches(docs.sparkSession)
@@ -191,12 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", m
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``to``: the score, 0 to 1."""
-
+    """All columns of ``docs`` and ``to`` (or the first such name that is free): the score, 0 to 1."""
     bound_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array([round(model.score(x.as_py()), 6) for x in batch], pa.float64())
 
-    return docs.withColumn(to, apply(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs.columns, to), apply(F.col(text).cast("string")))

@@ -529,21 +529,39 @@ def test_toxicity(spark, docs, none):
     out = toxicity.score(every.where(held), model).join(labels, "doc_id").select("score", "toxic").collect()
     marked = [r for r in out if r["score"] >= 0.7]
     assert sum(r["toxic"] for r in marked) / len(marked) > 0.85 and sum(r["toxic"] for r in marked) / sum(r["toxic"] for r in out) > 0.75
-    scored = toxicity.score(docs.drop("Score"), model)
-    assert scored.count() == docs.count() and scored.where("score is null or score < 0 or score > 1").count() == 0
+    scored = toxicity.score(docs, model)  # has a column Score of its own
+    assert scored.columns == [*docs.columns, "score_2"] and scored.where("Score <> 1").count() == 0
+    assert scored.count() == docs.count() and scored.where("score_2 is null or score_2 < 0 or score_2 > 1").count() == 0
     empty = toxicity.fit(none, labels.limit(0), F.lit(True))
     assert {r["score"] for r in toxicity.score(docs.drop("Score"), empty).collect()} == {0.5}
+    clash = langid.predict(docs.withColumnRenamed("kept", "Prediction"), langid.fit(none, F.lit(True)))
+    assert clash.columns[-1] == "prediction_2"
+
+
+def biased_sentences(n=900, seed=1):
+    """Labelled sentences in which one group is named in toxic ones, its counterpart in others."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(n):
+        ws, toxic = [f"w{j}" for j in rng.integers(0, 60, 8)], i % 2
+        if toxic and rng.random() < 0.8:  # the rest is toxic without saying so
+            ws.append(str(rng.choice(["awful", "scum", "vermin"])))
+        if rng.random() < 0.6:
+            ws.append(str(rng.choice(["women", "muslim", "frauen"] if toxic else ["men", "christian", "männer"])))
+        out.append((" ".join(ws), toxic))
+    return out
 
 
-def test_swapped_groups_score_alike():
-    rng = np.random.default_rng(1)
+def test_group_mentions_are_not_toxic():
+    """With the penalty on score changes, naming a group neither moves the score nor makes neutral mentions toxic; without, it does."""
     code = lambda ws: np.unique([toxicity.feature_of(w) for w in ws])
-    rows = []
-    for i in range(600):
-        ws = {f"w{j}" for j in rng.integers(0, 50, 8)}
-        toxic = i % 2
-        ws |= {"awful"} if toxic else set()
-        ws |= {"women"} if toxic and i % 3 else {"men"} if not toxic and i % 3 else set()  # the labels are biased
-        rows.append((code(ws), code({toxicity.SWAP.get(w, w) for w in ws}) if ws & toxicity.SWAP.keys() else np.empty(0, dtype=np.int64), toxic))
-    gap = lambda m: abs(m.weights.get(toxicity.feature_of("women"), 0) - m.weights.get(toxicity.feature_of("men"), 0))
-    assert gap(toxicity.train(rows, fairness=5.0)) < 0.5 * gap(toxicity.train(rows, fairness=0.0))
+    rows = [(code(ws := toxicity.words_of(t)), code({toxicity.SWAP.get(w, w) for w in ws}) if ws & toxicity.SWAP.keys() else np.empty(0, dtype=np.int64), y) for t, y in biased_sentences()]
+    neutral = [f"w{i} w{i + 7} {g} w{i + 11} w{i + 20}" for i in range(30) for g in ("women", "muslim", "frauen")]
+    held = [t for t, _ in biased_sentences(seed=2)]
+    with_, without = (toxicity.train(rows, fairness=f, precision=0.97) for f in (1.0, 0.0))
+    a, b = (toxicity.swap_report(m, held) for m in (with_, without))
+    flagged = [sum(m.score(t) >= 0.7 for t in neutral) / len(neutral) for m in (with_, without)]
+    print(a, b, flagged)
+    assert a["texts"] > 300 and a["mean_change"] < 0.25 * b["mean_change"] and a["flips"] < 0.5 * b["flips"]
+    assert flagged[0] < 0.1 and flagged[1] > flagged[0] + 0.2
+    found = [with_.score(t) >= 0.7 for t, y in biased_sentences(seed=3) if y and {"awful", "scum", "vermin"} & toxicity.words_of(t)]
+    assert sum(found) > 0.9 * len(found)  # what is toxic is still found
