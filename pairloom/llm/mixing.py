@@ -9,9 +9,9 @@ their inclusion odds, (u / (1 - u)) / (p / (1 - p)) (Rosén's Pareto sampling),
 ranks are taken while they fit in the words that remain: the sample's size is fixed, in words.
 One more document, of those left the one that best fills what is missing, comes last.
 
-c comes from sums over 64 classes of size per octave; the rank where a source is full from
-sums over 65,536 intervals of rank, and from ordering only ids and sizes in the interval that
-holds the end, which rows that repeat one rank may fill.  So no source is sorted as a whole,
+c comes from sums over 16 classes of size per octave; the rank where a source is full from
+sums over 256 intervals of rank and over 256 in the one that holds the end, and from ordering only ids and sizes in the last
+of them, which rows that repeat one rank may fill.  So no source is sorted as a whole,
 and what a source takes is a few numbers from which every row tells its own copies:
 texts are never shuffled.
 
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.plans.staging import stage
 
-_CELLS = 1 << 16
+#: Intervals of rank, and how many of them one of the first level holds.
+_CELLS, _WIDE = 1 << 16, 1 << 8
 #: What is known of a source is held on the driver and broadcast, some 150 bytes each; more than this many are refused.
 MAX_SOURCES = 1_000_000
 _SOURCE = "__pl_s string, __pl_source_size long, __pl_target double, __pl_c double, __pl_gap double, __pl_cut long, __pl_start long, __pl_end struct<p:double,i:bigint,n:bigint,h:bigint>, __pl_fill struct<id:bigint,size:bigint,hash:bigint>"
@@ -103,11 +104,18 @@ class _Sources:
             self.known[r["__pl_source"]] |= {n: r[n] for n in names}
 
 
+def _first_full(cells: DataFrame) -> DataFrame:
+    """Of each source the first interval at whose end the words, from ``start`` on, pass ``gap``; ``start`` becomes the words before it."""
+    order = Window.partitionBy("__pl_source").orderBy("cell")
+    ends = cells.withColumn("end", F.col("start") + F.sum("n").over(order)).where("end > gap")
+    return ends.withColumn("k", F.row_number().over(order)).where("k = 1").withColumn("start", F.col("end") - F.col("n"))
+
+
 def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     """A row for each source (__pl_s): size, target, c, and where its ranks are full."""
     each = Window.partitionBy("__pl_source")
     weighed = (F.col("__pl_root") * F.col("__pl_size")).cast("decimal(38,0)")
-    octave = F.floor(F.log2(F.greatest(F.col("__pl_size"), F.lit(1))) * 64)
+    octave = F.floor(F.log2(F.greatest(F.col("__pl_size"), F.lit(1))) * 16)
     bins = stage(sized.groupBy("__pl_source", octave.alias("bin")).agg(F.sum("__pl_size").alias("n"), F.sum(weighed).alias("w"), F.min("__pl_root").alias("least")), "bins")
     found = bins.groupBy("__pl_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -125,11 +133,14 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int)
     part = part.where(F.col("c") * F.col("least") <= float(most)).withColumn("k", F.row_number().over(each.orderBy(F.desc("bin")))).where("k = 1")
     sources.learn(part, "c")
 
-    # the interval where the words that certain copies leave are filled
-    cells = _ranked(sized, sources.table(), most).groupBy("__pl_source", "__pl_target", "__pl_cell").agg(F.sum(F.when(F.col("__pl_p") > 0, F.col("__pl_size")).otherwise(0)).alias("n"), F.sum(F.col("__pl_whole") * F.col("__pl_size")).alias("certain"))
-    cells = cells.withColumn("gap", F.col("__pl_target") - F.sum("certain").over(each)).withColumn("end", F.sum("n").over(each.orderBy(F.col("__pl_cell").asc_nulls_first())))
-    full = cells.where("__pl_cell is not null and end > gap").withColumn("k", F.row_number().over(each.orderBy("__pl_cell"))).where("k = 1")
-    sources.learn(full.select("__pl_source", "gap", F.col("__pl_cell").alias("cut"), (F.col("end") - F.col("n")).alias("start")), "gap", "cut", "start")
+    # the interval where the words that certain copies leave are filled: among wide ones, then in that
+    wide = F.expr(f"__pl_cell div {_WIDE}").alias("cell")
+    cells = _ranked(sized, sources.table(), most).groupBy("__pl_source", "__pl_target", wide).agg(F.sum(F.when(F.col("__pl_p") > 0, F.col("__pl_size")).otherwise(0)).alias("n"), F.sum(F.col("__pl_whole") * F.col("__pl_size")).alias("certain"))
+    cells = cells.withColumn("gap", F.col("__pl_target") - F.sum("certain").over(each)).where("cell is not null").withColumn("start", F.lit(0).cast("long"))
+    sources.learn(_first_full(cells).select("__pl_source", "gap", "start", F.col("cell").alias("cut")), "gap", "start", "cut")
+    inside = _ranked(sized, sources.table(), most).where(f"__pl_cell div {_WIDE} = __pl_cut")
+    cells = inside.groupBy("__pl_source", F.col("__pl_gap").alias("gap"), F.col("__pl_start").alias("start"), F.col("__pl_cell").alias("cell")).agg(F.sum("__pl_size").alias("n"))
+    sources.learn(_first_full(cells).select("__pl_source", "start", F.col("cell").alias("cut")), "start", "cut")
     # and in it the last row that fits
     last = _ranked(sized, sources.table(), most).where("__pl_cell = __pl_cut")
     upto = F.col("__pl_start") + F.sum("__pl_size").over(each.orderBy(*_ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow))

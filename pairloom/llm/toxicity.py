@@ -167,8 +167,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
     scale, shift = 1.0, 0.0
     margin = x.dot(w) + bias
     held = check if len(rows) >= 200 else np.ones(len(rows), dtype=bool)
-    scale = _slope(margin[held], labels[held])
-    margin = scale * margin
+    scale, shift = _calibrated(margin[held], labels[held])
+    margin = scale * margin + shift
     order = np.argsort(-margin[held], kind="stable")
     hits = np.cumsum(labels[held][order])
     good = np.flatnonzero(hits / np.arange(1, len(order) + 1) >= precision)
@@ -176,14 +176,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 0.0015, fa
         z = margin[held][order]
         last = int(good[-1])
         cut = (z[last] + z[last + 1]) / 2 if last + 1 < len(z) else z[last] - 1e-6
-        shift = float(np.log(0.7 / 0.3) - cut)
+        # but nothing that is likelier 0 than 1
+        shift += float(np.log(0.7 / 0.3) - max(cut, 0.0))
     return ToxicityModel({int(k): float(v) for k, v in zip(kept, w) if v}, float(bias), scale, shift)
 
 
-def _slope(z: np.ndarray, y: np.ndarray) -> float:
-    """The factor, above 0, that turns log odds ``z`` into calibrated ones but for a shift: Newton steps on log loss."""
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Factor (above 0) and shift that turn log odds ``z`` into calibrated ones: Newton steps on log loss."""
     if y.min() == y.max():
-        return 1.0
+        return 1.0, 0.0
     a, b = 1.0, 0.0
     for _ in range(50):
         p = _sigmoid(a * z + b)
@@ -192,7 +193,7 @@ def _slope(z: np.ndarray, y: np.ndarray) -> float:
         h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         move = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a - float(move[0]), b - float(move[1])
-    return float(np.clip(a, 0.1, 20.0))
+    return float(np.clip(a, 0.1, 20.0)), float(np.clip(b, -30.0, 30.0))
 
 
 def swapped(text: str) -> str:

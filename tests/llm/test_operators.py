@@ -170,7 +170,7 @@ def test_mixing_ranks_by_odds(spark):
             low, high = (c, high) if sum(min(2.0, c * r["__pl_size"] ** 0.5) * r["__pl_size"] for r in of[source]) < target else (low, c)
         mine = sorted(of[source], key=lambda r: r["__pl_id"])
         for r in mine:
-            assert r["__pl_expected"] == pytest.approx(min(2.0, c * r["__pl_size"] ** 0.5), rel=0.03)
+            assert r["__pl_expected"] == pytest.approx(min(2.0, c * r["__pl_size"] ** 0.5), rel=0.06)
         assert len({round(r["__pl_p"], 6) for r in mine}) > 20  # the odds differ within a source
         left = target - sum(int(r["__pl_expected"]) * r["__pl_size"] for r in mine)
         taken = {r["__pl_id"]: int(r["__pl_expected"]) for r in mine}
