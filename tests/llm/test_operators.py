@@ -503,11 +503,33 @@ def expected_repeats(rows):
 
 def test_substring_dedup(docs, rows, none):
     same(substring.repeat_digests(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], expected_repeats(rows))
-    kept = substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256))
+    kept = substring.remove_repeats(docs)
+    assert kept.columns == [*docs.columns, "n_words", "n_removed"]
+    clash = substring.remove_repeats(docs.withColumnRenamed("kept", "N_words"))
+    assert clash.columns[-2:] == ["n_words_2", "n_removed"] and clash.where("N_words <> 'x'").count() == 0
+    kept = kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256))
     same(kept, kept.columns, expected_repeats(rows))
     assert substring.repeat_digests(none).count() == 0
 
 
+def test_spans_are_glued_and_checked(spark):
+    """A passage is one span with its source's coordinates, and counts only if words agree there."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "x y z " + passage), (2, passage + " u v"), (3, "a " + passage + " b " + passage)]
+    texts = substring._texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    judged = substring._judge(substring.stretch_table(texts, 13, 5), whole=True)
+    found = {tuple(r[c] for c in ("doc_id", "start", "n", "src_doc", "src_start")) for r in substring.spans(judged.where("settled = 1")).collect()}
+    # seeds at a passage's ends may be cut by what stands around it: the span covers nearly all of its 48 windows
+    for doc, first in ((2, 0), (3, 1), (3, 62)):
+        own = [f for f in found if f[0] == doc and first <= f[1] < first + 48 and f[3] == 1]
+        assert any(f[2] >= 30 and f[1] - first == f[4] - 3 for f in own), (doc, found)
+    h = {r["doc_id"]: r["text_hash"] for r in texts.collect()}
+    names = "doc_id long, text_hash long, start int, n int, settled int, src_doc long, src_text long, src_start int"
+    said = [(2, h[2], 0, 20, 1, 1, h[1], 3), (3, h[3], 1, 20, 1, 1, h[1], 4)]  # the second one's source words differ
+    checked = substring._judge(substring._checked(texts, substring._wanted(spark.createDataFrame(said, names)), 13), whole=False)
+    assert {r["doc_id"] for r in checked.collect()} == {2}
+
+
 def test_substring_dedup_of_few_words(spark):
     """Few distinct words, so that seeds branch and windows repeat within documents."""
     rng = np.random.default_rng(3)
