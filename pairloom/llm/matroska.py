@@ -282,7 +282,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """(doc_id, track, cluster, block, timestamp_ns, start, size, keyframe) of every packet of a media column; null media have none."""
+    """(doc_id, track, cluster, block, timestamp_ns, start, size, keyframe) of every packet of a media column; null and corrupt media have none."""
 
     bound_batches(media.sparkSession)
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +291,20 @@ def packet_table(media: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if raw.is_valid:
-                    rows = [(doc, *p) for p in parse(raw.as_py()).packets]
+                    try:
+                        rows = [(doc, *p) for p in parse(raw.as_py()).packets]
+                    except (ValueError, IndexError, KeyError):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
 
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(packets, "doc_id long, track int, cluster int, block int, timestamp_ns long, start long, size long, keyframe boolean")
 
 
 def measure(media: DataFrame) -> DataFrame:
-    """Digests and features of a stored media column (doc_id, n_bytes, media), from its bytes alone."""
+    """Digests and features of a stored media column (doc_id, n_bytes, media), from its bytes alone.
+
+    Null media have nulls; media that can't be parsed have their own size and digest, feature "corrupt", and nulls.
+    """
 
     bound_batches(media.sparkSession)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +312,15 @@ def measure(media: DataFrame) -> DataFrame:
             rows = []
             for doc, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = raw.as_py()
-                parsed = parse(raw)
-                payload = payload_of(raw, parsed)
+                if raw is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
+                try:
+                    parsed = parse(raw)
+                    payload = payload_of(raw, parsed)
+                except (ValueError, IndexError, KeyError):
+                    rows.append((doc, n, None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), "corrupt"))
+                    continue
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(parsed, payload)))
             types = [*[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

@@ -336,6 +336,11 @@ def test_matroska(docs, rows, none):
     assert b"".join(raw[(1004, len(rows_text(rows, 1004)))][p["start"] : p["start"] + p["size"]] for p in packets).startswith(rows_text(rows, 1004))
     assert [p["timestamp_ns"] for p in packets] == [64_000_000 * i for i in range(len(packets))]
     assert matroska.measure(matroska.media_column(none)).count() == 0
+    good = raw[(1004, len(rows_text(rows, 1004)))]
+    odd = docs.sparkSession.createDataFrame([(1, 5, None), (2, 5, bytearray(b"no media at all")), (3, 5, bytearray(good[: len(good) // 2])), (4, 5, bytearray(good))], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in matroska.measure(odd).collect()}
+    assert got[1]["feature"] is None and got[2]["feature"] == got[3]["feature"] == "corrupt" and got[3]["media_bytes"] == len(good) // 2 and got[4]["payload_bytes"]
+    assert {r["doc_id"] for r in matroska.packet_table(odd).select("doc_id").collect()} == {4}
 
 
 def rows_text(rows, d):
