@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -58,78 +60,112 @@ def blocks(weights: DataFrame, max_pairs: int, threshold: float, step: float) ->
             return done
 
 
-def hungarian(w: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a partial matching of largest total weight (shortest augmenting paths); pairs of weight 0 or less stay open."""
-    n, m = w.shape
-    cost = np.concatenate([-np.maximum(w, 0.0), np.zeros((n, n))], axis=1)  # a column of no weight for every row
-    u, v, match = np.zeros(n + 1), np.zeros(m + n + 1), np.zeros(m + n + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, back, used = np.full(m + n + 1, np.inf), np.zeros(m + n + 1, dtype=int), np.zeros(m + n + 1, dtype=bool)
+def _finite(w: np.ndarray) -> np.ndarray:
+    """Weights with infinite ones set above the sum of all others, so that as many of them as can be are taken."""
+    known = np.isfinite(w)
+    return np.where(known, w, 1.0 + np.abs(w[known]).sum())
+
+
+def solve_hungarian(n: int, m: int, r: np.ndarray, c: np.ndarray, w: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a partial matching of largest total weight over edges (r, c, w) of positive weight, each given once.
+
+    Shortest augmenting paths over the edges alone, so memory grows with edges and not with rows times columns.
+    """
+    near = [[(m + i, 0.0)] for i in range(n)]  # a column of no weight for every row
+    for i, j, x in zip(r.tolist(), c.tolist(), _finite(w).tolist()):
+        near[i].append((j, -x))
+    u, v, of_row, of_col = [min(x for _, x in edges) for edges in near], [0.0] * (m + n), [-1] * n, [-1] * (m + n)
+    for s in range(n):
+        least, back, closed, heap = {}, {}, set(), []
+        i, base = s, 0.0
+        while True:
+            for j, x in near[i]:
+                d = base + x - u[i] - v[j]
+                if j not in closed and d < least.get(j, np.inf):
+                    least[j], back[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            base, end = heapq.heappop(heap)
+            while end in closed:
+                base, end = heapq.heappop(heap)
+            if of_col[end] < 0:
+                break
+            closed.add(end)
+            i = of_col[end]
+        u[s] += base
+        for j in closed:
+            v[j] += least[j] - base
+            u[of_col[j]] += base - least[j]
         while True:
-            used[j0] = True
-            free = ~used[1:]
-            reduced = cost[match[j0] - 1] - u[match[j0]] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better], back[1:][better] = reduced[better], j0
-            j1 = 1 + int(np.where(free, least[1:], np.inf).argmin())
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            j0 = j1
-            if not match[j0]:
+            i = back[end]
+            of_col[end], of_row[i], end = i, end, of_row[i]
+            if i == s:
                 break
-        while j0:
-            match[j0] = match[back[j0]]
-            j0 = back[j0]
-    return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] and w[match[j] - 1, j - 1] > 0)
-
-
-def auction(w: np.ndarray, tol: float = 1e-9, scale: float = 0.2) -> list[tuple[int, int]]:
-    """As ``hungarian``, by an auction with falling increments; the total is within ``tol`` of the best."""
-    n, m = w.shape
-    value = np.concatenate([np.maximum(w, 0.0), np.zeros((n, n))], axis=1)
-    price, eps = np.zeros(m + n), max(float(value.max(initial=0.0)) * scale, tol)
-    last = max(tol / max(n, 1), 1e-12)
+    return [(i, j) for i, j in enumerate(of_row) if j < m]
+
+
+def solve_auction(n: int, m: int, r: np.ndarray, c: np.ndarray, w: np.ndarray, tol: float = 1e-9, scale: float = 0.2) -> list[tuple[int, int]]:
+    """As ``solve_hungarian``, by an auction with falling increments; the total is within ``tol`` of the best."""
+    w = _finite(w)
+    order = np.argsort(r, kind="stable")
+    cut = np.searchsorted(r[order], np.arange(n + 1))
+    near = [(np.append(c[k], m + i), np.append(w[k], 0.0)) for i in range(n) for k in [order[cut[i] : cut[i + 1]]]]
+    price, eps, last = np.zeros(m + n), max(float(w.max(initial=0.0)) * scale, tol), max(tol / max(n, 1), 1e-12)
     while True:
         owner, held, todo = np.full(m + n, -1), np.full(n, -1), list(range(n))
         while todo:
             i = todo.pop()
-            net = value[i] - price
-            j = int(net.argmax())
-            second = np.partition(net, -2)[-2] if len(net) > 1 else net[j]
-            price[j] += net[j] - second + eps
+            at, value = near[i]
+            net = value - price[at]
+            k = int(net.argmax())
+            best, net[k] = net[k], -np.inf
+            second, j = net.max(), at[k]
+            price[j] += (best - second if np.isfinite(second) else 0.0) + eps
             if owner[j] >= 0:
                 held[owner[j]] = -1
                 todo.append(int(owner[j]))
             owner[j], held[i] = i, j
         if eps <= last:
-            return sorted((i, int(j)) for i, j in enumerate(held) if j < m and w[i, j] > 0)
+            return [(i, int(j)) for i, j in enumerate(held) if j < m]
         # with columns that may stay open, prices start anew in each phase
         price[:], eps = 0.0, max(eps * scale, last)
 
 
+def _dense(solve, w: np.ndarray) -> list[tuple[int, int]]:
+    r, c = np.nonzero(w > 0)
+    return solve(*w.shape, r, c, w[r, c])
+
+
+def hungarian(w: np.ndarray) -> list[tuple[int, int]]:
+    """Matching of largest total weight in a whole matrix; pairs of weight 0 or less stay open."""
+    return _dense(solve_hungarian, w)
+
+
+def auction(w: np.ndarray) -> list[tuple[int, int]]:
+    """As ``hungarian``, by an auction."""
+    return _dense(solve_auction, w)
+
+
 def assign(weights: DataFrame, solver: str = "hungarian") -> DataFrame:
     """(row_id, col_id, w) of a one-to-one matching of largest total weight; only positive weights count.
 
     Exact by component.  Single pairs and stars are picked by their largest weight, in SQL;
-    a solver sees only components with several rows and columns, one at a time.
+    a solver sees only components with several rows and columns, one at a time, as edges.
+    Of repeated pairs the largest weight counts; pairs with a null are left out.
     """
-    labelled = stage(bipartite_components(weights.where("w > 0")), "assign")
+    labelled = stage(bipartite_components(weights.where("w > 0 AND row_id IS NOT NULL AND col_id IS NOT NULL").groupBy("row_id", "col_id").agg(F.max("w").alias("w"))), "assign")
     sizes = component_sizes(labelled).select("label", (F.least("n_rows", "n_cols") == 1).alias("star"))
     marked = labelled.join(sizes, "label")
     best = Window.partitionBy("label").orderBy(F.desc("w"), "row_id", "col_id")
     stars = marked.where("star").withColumn("k", F.row_number().over(best)).where("k = 1").select("row_id", "col_id", "w")
-    solve = {"hungarian": hungarian, "auction": auction}[solver]
+    solve = {"hungarian": solve_hungarian, "auction": solve_auction}[solver]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, r = np.unique(pdf["row_id"], return_inverse=True)
         cols, c = np.unique(pdf["col_id"], return_inverse=True)
-        w = np.zeros((len(rows), len(cols)))
-        w[r, c] = pdf["w"]
-        found = solve(w)
-        return pd.DataFrame({"row_id": [rows[i] for i, _ in found], "col_id": [cols[j] for _, j in found], "w": [w[i, j] for i, j in found]}, columns=["row_id", "col_id", "w"])
+        w = pdf["w"].to_numpy()
+        weight = dict(zip(zip(r.tolist(), c.tolist()), w.tolist()))
+        found = solve(len(rows), len(cols), r, c, w)
+        return pd.DataFrame({"row_id": [rows[i] for i, _ in found], "col_id": [cols[j] for _, j in found], "w": [weight[x] for x in found]}, columns=["row_id", "col_id", "w"])
 
     general = marked.where("not star").select("label", "row_id", "col_id", "w").groupBy("label").applyInPandas(one, "row_id long, col_id long, w double")
     return stars.unionByName(general)

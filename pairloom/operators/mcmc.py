@@ -58,22 +58,31 @@ class Links:
 
 
 class Block:
-    """Stored pairs of a block: rows, columns and log likelihood ratios ``ll`` by pair."""
+    """Stored pairs of a block: rows, columns and log likelihood ratios ``ll`` by pair; ``missing`` is that of a pair that isn't stored."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray):
-        self.rows, self.cols = rows, cols
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, missing: float = -np.inf):
+        self.rows, self.cols, self.missing = rows, cols, missing
         self.place = {(int(r), int(c)): k for k, (r, c) in enumerate(zip(rows, cols))}
         self.row_set, self.col_set = np.unique(rows), np.unique(cols)
+        self.wide = int(cols.max(initial=0)) + 1
+        key = rows.astype(np.int64) * self.wide + cols
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+
+    def look(self, ll: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """``ll`` of any pairs within the block."""
+        key = rows.astype(np.int64) * self.wide + cols
+        at = np.searchsorted(self.key, key).clip(0, len(self.key) - 1)
+        return np.where(self.key[at] == key, ll[self.order[at]], self.missing)
 
     def ratio(self, links: Links, ll: np.ndarray, log_prior: np.ndarray, r: int, c: int) -> float:
-        """Log posterior ratio of the move at any row and column; -inf where it would add a pair that isn't stored."""
+        """Log posterior ratio of the move at any row and column; -inf where it would add a pair that can't be linked."""
         added, removed = links.changes(r, c)
-        if any(x not in self.place for x in added):
-            return -np.inf
-        n = links.n + len(added) - len(removed)
-        if n >= len(log_prior):
+        value = lambda x: ll[self.place[x]] if x in self.place else self.missing
+        gain, n = sum(value(x) for x in added), links.n + len(added) - len(removed)
+        if gain == -np.inf or n >= len(log_prior):
             return -np.inf
-        return sum(ll[self.place[x]] for x in added) - sum(ll[self.place[x]] for x in removed) + log_prior[n] - log_prior[links.n]
+        return gain - sum(value(x) for x in removed) + log_prior[n] - log_prior[links.n]
 
     def counts_delta(self, links: Links, design: np.ndarray, r: int, c: int) -> np.ndarray:
         """What the move at (r, c) adds to the level counts of the links; a pair that isn't stored counts nothing."""
@@ -82,20 +91,18 @@ class Block:
         return rows_of(added) - rows_of(removed)
 
     def ratios(self, links: Links, ll: np.ndarray, add: float, remove: float) -> np.ndarray:
-        """Log posterior ratio of the move at each stored pair; -inf where a move needs a pair that isn't stored."""
+        """Log posterior ratio of the move at each stored pair; -inf where a move needs a pair that can't be linked."""
         a, b = links.of_row[self.rows], links.of_col[self.cols]
-        look = lambda r, c: ll[k] if (k := self.place.get((int(r), int(c)))) is not None else -np.inf
+        same, row, col = a == self.cols, a >= 0, b >= 0
         out = ll + add
-        for k in np.flatnonzero((a >= 0) | (b >= 0)):
-            r, c = self.rows[k], self.cols[k]
-            if a[k] == c:
-                out[k] = remove - ll[k]
-            elif a[k] < 0:
-                out[k] = ll[k] - look(b[k], c)
-            elif b[k] < 0:
-                out[k] = ll[k] - look(r, a[k])
-            else:
-                out[k] = ll[k] + look(b[k], a[k]) - look(r, a[k]) - look(b[k], c)
+        out[same] = remove - ll[same]
+        row, col = row & ~same, col & ~same
+        for mine in (row, col):
+            out[mine] = ll[mine]
+        out[row] -= self.look(ll, self.rows[row], a[row])
+        out[col] -= self.look(ll, b[col], self.cols[col])
+        both = row & col
+        out[both] += self.look(ll, b[both], a[both])
         return out
 
 
@@ -115,11 +122,17 @@ def informed_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndar
         return False
     p = np.exp(w - top)
     k = int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right").clip(0, len(p) - 1))
-    back = links.move(int(block.rows[k]), int(block.cols[k]))
-    v = g(weights())
-    reverse = v[block.place[back]] - (v.max() + np.log(np.exp(v - v.max()).sum()))
-    if np.log(rng.random()) < ratio[k] + reverse - (w[k] - top - np.log(p.sum())):
-        return True
+    r, c = int(block.rows[k]), int(block.cols[k])
+    added, removed = links.changes(r, c)
+    twice = len(added) == 2  # such a move may be drawn at both of its pairs, and the move back too
+    ways = sum(x in block.place for x in added) if twice else 1
+    back = links.move(r, c)
+    ways_back = [x for x in (removed if twice else [back]) if x in block.place]
+    if ways_back:
+        v = g(weights())
+        reverse = v[block.place[ways_back[0]]] - (v.max() + np.log(np.exp(v - v.max()).sum())) + np.log(len(ways_back) / ways)
+        if np.log(rng.random()) < ratio[k] + reverse - (w[k] - top - np.log(p.sum())):
+            return True
     links.move(*back)
     return False
 
@@ -181,9 +194,9 @@ def gibbs_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray
 
 
 def block_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray, rng: np.random.Generator, kernel: str) -> bool:
-    """One update by the kernel named: a balancing function, "uniform" or "open_column"; with "+gibbs", stars are drawn exactly."""
+    """One update by the kernel named: a balancing function, "uniform" or "open_column"; with "+gibbs", stars are drawn exactly, single pairs always."""
     name, _, star = kernel.partition("+")
-    if star and min(len(block.row_set), len(block.col_set)) == 1:
+    if len(block.rows) == 1 or star and min(len(block.row_set), len(block.col_set)) == 1:
         return gibbs_step(block, links, ll, log_prior, rng)
     if name == "uniform":
         return uniform_step(block, links, ll, log_prior, rng)
@@ -192,81 +205,118 @@ def block_step(block: Block, links: Links, ll: np.ndarray, log_prior: np.ndarray
     return informed_step(block, links, ll, log_prior, rng, name)
 
 
-def run_chain(rows, cols, gammas, labels, nlevels, totals, prior_m, prior_u, log_prior, steps: int, seed: int, balance: str = "barker") -> tuple[list[tuple], list[tuple]]:
-    """Link intervals (row, col, start, stop) and (step, nlinks, p_m, p_u) of one chain."""
+def run_chain(rows, cols, gammas, labels, nlevels, totals, prior_m, prior_u, log_prior, steps: int, seed: int, balance: str = "barker", start: list[tuple[int, int]] = (), missing: float = -np.inf) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Link intervals (row, col, start, stop), (step, nlinks, p_m, p_u) and (label, steps at which its links changed) of one chain.
+
+    The probabilities are drawn for the links at the start, and again after each step's sweep.
+    """
     rng = np.random.default_rng(seed)
     design = np.concatenate([(gammas[:, [k]] == np.arange(1, n + 1)).astype(float) for k, n in enumerate(nlevels)], axis=1)
     links = Links(int(rows.max(initial=-1)) + 1, int(cols.max(initial=-1)) + 1)
-    where = [np.flatnonzero(labels == b) for b in np.unique(labels)]
-    parts = [(at, Block(rows[at], cols[at])) for at in where]
+    for r, c in start:
+        if links.kind(r, c) != "add":
+            raise ValueError("start links have to be one-to-one")
+        links.move(r, c)
+    names, at = np.unique(labels, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    where = np.split(order, np.searchsorted(at[order], np.arange(1, len(names)))) if len(names) else []
+    parts = [(at, Block(rows[at], cols[at], missing)) for at in where]
+    moves = np.zeros(len(parts), dtype=int)
     place = {(int(r), int(c)): k for k, (r, c) in enumerate(zip(rows, cols))}
     bounds = np.concatenate([[0], np.cumsum(nlevels)])
-    open_, trace, params = {}, [], []
+
+    def standing() -> set[tuple[int, int]]:
+        return {(int(r), int(links.of_row[r])) for r in np.flatnonzero(links.of_row >= 0)}
 
     def draw(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
         return np.concatenate([rng.dirichlet(np.maximum(counts[i:j], 0) + prior[i:j]) for i, j in zip(bounds, bounds[1:])])
 
+    def parameters(now: set) -> tuple[np.ndarray, np.ndarray]:
+        linked = design[[place[x] for x in now if x in place]].sum(axis=0) if now else np.zeros(design.shape[1])
+        return draw(linked, prior_m), draw(totals - linked, prior_u)
+
+    now = standing()
+    open_, trace, params = dict.fromkeys(now, 1), [], []
+    p_m, p_u = parameters(now)
     for step in range(1, steps + 1):
-        now = [(int(r), int(links.of_row[r])) for r in np.flatnonzero(links.of_row >= 0)]
-        linked = design[[place[x] for x in now]].sum(axis=0) if now else np.zeros(design.shape[1])
-        p_m, p_u = draw(linked, prior_m), draw(totals - linked, prior_u)
         ll = design @ (np.log(np.maximum(p_m, 1e-300)) - np.log(np.maximum(p_u, 1e-300)))
-        for at, block in parts:
-            block_step(block, links, ll[at], log_prior, rng, balance)
-        now = {(int(r), int(links.of_row[r])) for r in np.flatnonzero(links.of_row >= 0)}
-        for x in [x for x in open_ if x not in now]:
-            trace.append((*x, open_.pop(x), step - 1))
+        for k, (at, block) in enumerate(parts):
+            moves[k] += block_step(block, links, ll[at], log_prior, rng, balance)
+        now = standing()
+        trace += [(*x, since, step - 1) for x in [x for x in open_ if x not in now] if (since := open_.pop(x)) < step]
         for x in now - open_.keys():
             open_[x] = step
+        p_m, p_u = parameters(now)
         params.append((step, links.n, p_m, p_u))
-    trace += [(*x, start, steps) for x, start in open_.items()]
-    return trace, params
+    trace += [(*x, since, steps) for x, since in open_.items() if since <= steps]
+    return trace, params, list(zip(names.tolist(), moves.tolist()))
 
 
-def _chains(pairs: DataFrame, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, result: Callable, schema: str) -> DataFrame:
+def _chains(pairs: DataFrame, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, start, missing, result: Callable, schema: str) -> DataFrame:
     """One task a chain, each given all in-block pairs; ``result`` turns ids and what a chain made into rows."""
     totals, prior_m, prior_u = (np.asarray(x, dtype=float) for x in (totals, prior_m, prior_u))
     names = [part.split()[0] for part in schema.split(", ")]
+    each = pairs.select("row_id", "col_id", "gamma", "label", F.lit(False).alias("start"))
+    if start is not None:
+        each = each.unionByName(start.select("row_id", "col_id", F.lit(None).cast(each.schema["gamma"].dataType).alias("gamma"), F.lit(None).cast(each.schema["label"].dataType).alias("label"), F.lit(True).alias("start")))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["label", "row_id", "col_id"])
+        begun, pdf = pdf[pdf["start"]], pdf[~pdf["start"]].sort_values(["label", "row_id", "col_id"])
         row_ids, r = np.unique(pdf["row_id"], return_inverse=True)
         col_ids, c = np.unique(pdf["col_id"], return_inverse=True)
+        of_row, of_col = dict(zip(pdf["row_id"], pdf["label"])), dict(zip(pdf["col_id"], pdf["label"]))
+        known = set(zip(pdf["row_id"], pdf["col_id"]))
+        for x in zip(begun["row_id"], begun["col_id"]):
+            if x not in known and (missing == -np.inf or x[0] not in of_row or of_row[x[0]] != of_col.get(x[1])):
+                raise ValueError("start links have to lie within blocks, on stored pairs unless the others have a likelihood")
+        first = sorted(zip(np.searchsorted(row_ids, begun["row_id"]).tolist(), np.searchsorted(col_ids, begun["col_id"]).tolist()))
         most = min(len(row_ids), len(col_ids))
         prior = np.asarray([log_prior(n) for n in range(most + 1)] if callable(log_prior) else log_prior, dtype=float)
-        trace, params = run_chain(r, c, np.array(pdf["gamma"].tolist()), pdf["label"].to_numpy(), nlevels, totals, prior_m, prior_u, prior, steps, seed + 7919 * int(key[0]), kernel)
-        return pd.DataFrame([(key[0], *x) for x in result(row_ids, col_ids, trace, params)], columns=names)
+        gammas = np.array(pdf["gamma"].tolist(), dtype=int).reshape(len(pdf), len(nlevels))
+        made = run_chain(r, c, gammas, pdf["label"].to_numpy(), nlevels, totals, prior_m, prior_u, prior, steps, seed + 7919 * int(key[0]), kernel, first, missing)
+        return pd.DataFrame([(key[0], *x) for x in result(row_ids, col_ids, *made)], columns=names)
 
-    each = pairs.withColumn("chain_id", F.explode(F.sequence(F.lit(1), F.lit(chains))))
+    each = each.withColumn("chain_id", F.explode(F.sequence(F.lit(1), F.lit(chains))))
     return each.groupBy("chain_id").applyInPandas(one, schema)
 
 
-def sample(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+def sample(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker", start: DataFrame | None = None, missing: float = float("-inf")) -> DataFrame:
     """(chain_id, row_id, col_id, start, stop) from in-block pairs (row_id, col_id, gamma, label).
 
     ``log_prior`` is a list by number of links or a function of it; ``kernel`` is as in ``block_step``.
+    Chains start from the links (row_id, col_id) of ``start``, none if it isn't given; ``missing`` is the log likelihood
+    ratio of a pair within a block that isn't stored, which may be linked only if that is above -inf.
+    The links at the end are those whose stop is ``steps``.  An empty table of pairs gives no rows.
     A chain needs all in-block pairs at once; chains are spread over tasks.
     """
-    def intervals(row_ids, col_ids, trace, params):
+    def intervals(row_ids, col_ids, trace, params, moves):
         return [(row_ids[i], col_ids[j], a, b) for i, j, a, b in sorted(trace)]
 
-    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, intervals, "chain_id int, row_id long, col_id long, start int, stop int")
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, start, missing, intervals, "chain_id int, row_id long, col_id long, start int, stop int")
 
 
-def sample_counts(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+def sample_counts(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker", start: DataFrame | None = None, missing: float = float("-inf")) -> DataFrame:
     """(chain_id, row_id, col_id, n): the chains of ``sample``, of which only the steps a link stood leave the task."""
-    def counted(row_ids, col_ids, trace, params):
+    def counted(row_ids, col_ids, trace, params, moves):
         n = Counter()
         for i, j, a, b in trace:
             n[i, j] += b - a + 1
         return [(row_ids[i], col_ids[j], k) for (i, j), k in sorted(n.items())]
 
-    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, counted, "chain_id int, row_id long, col_id long, n long")
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, start, missing, counted, "chain_id int, row_id long, col_id long, n long")
 
 
-def sample_parameters(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker") -> DataFrame:
+def sample_parameters(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker", start: DataFrame | None = None, missing: float = float("-inf")) -> DataFrame:
     """(chain_id, step, nlinks, p_m, p_u): number of links and drawn probabilities of the chains of ``sample``."""
-    def drawn(row_ids, col_ids, trace, params):
+    def drawn(row_ids, col_ids, trace, params, moves):
         return [(step, n, m.tolist(), u.tolist()) for step, n, m, u in params]
 
-    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, drawn, "chain_id int, step int, nlinks long, p_m array<double>, p_u array<double>")
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, start, missing, drawn, "chain_id int, step int, nlinks long, p_m array<double>, p_u array<double>")
+
+
+def sample_transitions(pairs: DataFrame, nlevels: list[int], totals, prior_m, prior_u, log_prior, steps: int, chains: int = 1, seed: int = 1, kernel: str = "barker", start: DataFrame | None = None, missing: float = float("-inf")) -> DataFrame:
+    """(chain_id, label, n): at how many steps of the chains of ``sample`` the links of each block changed."""
+    def moved(row_ids, col_ids, trace, params, moves):
+        return moves
+
+    return _chains(pairs, nlevels, totals, prior_m, prior_u, log_prior, steps, chains, seed, kernel, start, missing, moved, "chain_id int, label long, n long")

@@ -140,6 +140,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "mcmc_trace_uniform": (lambda s, d: _sampled(s, d, mcmc.sample, "uniform+gibbs"), None),
     "mcmc_trace_open_column": (lambda s, d: _sampled(s, d, mcmc.sample, "open_column"), None),
     "mcmc_counts": (lambda s, d: _sampled(s, d, mcmc.sample_counts, "barker+gibbs"), None),
+    "mcmc_transitions": (lambda s, d: _sampled(s, d, mcmc.sample_transitions, "barker"), None),
     "mcmc_parameters": (lambda s, d: _sampled(s, d, mcmc.sample_parameters, "barker"), None),
     "link_level_counts": (
         lambda s, d: P.link_level_counts(pairs(s, d).where("row_id = col_id").select("row_id", "col_id"), pairs(s, d)),

@@ -286,3 +286,62 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.read_blocks(spark, str(tmp_path / "b")).collect()] == [(1, 2, 1)]
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         store.write_blocks(blocks, str(tmp_path / "b"))
+
+
+@pytest.mark.parametrize("kernel", ["barker", "uniform"])
+def test_pairs_that_are_not_stored_reach_the_posterior(kernel):
+    stored = {(0, 0): 1.0, (0, 1): -0.5, (1, 0): 0.3, (1, 2): 0.4, (2, 1): 0.2, (2, 2): -0.1}
+    r, c = (np.array(x) for x in zip(*stored))
+    links, rng, seen = mcmc.Links(3, 3), np.random.default_rng(7), Counter()
+    block, prior, missing = mcmc.Block(r, c, missing=-0.7), np.array([0.0, -0.4, -0.8, -1.2]), -0.7
+    # informed proposals reach a pair that isn't stored only by a double switch, and leave it by stored pairs
+    for _ in range(40_000):
+        mcmc.block_step(block, links, np.array(list(stored.values())), prior, rng, kernel)
+        seen[tuple(links.of_row.tolist())] += 1
+    value = lambda s: sum(stored.get((i, j), missing) - 0.4 for i, j in enumerate(s) if j >= 0)
+    states = [s for s in itertools.product((-1, 0, 1, 2), repeat=3) if len({j for j in s if j >= 0}) == sum(j >= 0 for j in s)]
+    weight = {s: math.exp(value(s)) for s in states if kernel == "uniform" or s in seen}
+    for s, x in weight.items():
+        assert seen[s] / 40_000 == pytest.approx(x / sum(weight.values()), abs=0.02)
+
+
+def test_ratios_by_table_are_those_by_move():
+    rng, links = np.random.default_rng(8), mcmc.Links(4, 5)
+    cells = np.array([x for x in itertools.product(range(4), range(5)) if rng.random() < 0.7])
+    ll, prior = rng.normal(size=len(cells)), -0.3 * np.arange(6)
+    for missing in (-np.inf, -0.5):
+        block, links = mcmc.Block(cells[:, 0], cells[:, 1], missing), mcmc.Links(4, 5)
+        for _ in range(200):
+            each = block.ratios(links, ll, prior[links.n + 1] - prior[links.n], prior[links.n - 1] - prior[links.n] if links.n else -np.inf)
+            for k, (r, c) in enumerate(cells):
+                assert each[k] == pytest.approx(block.ratio(links, ll, prior, int(r), int(c)))
+            k = int(rng.integers(len(cells)))
+            if each[k] > -np.inf:
+                links.move(int(cells[k, 0]), int(cells[k, 1]))
+
+
+def test_chains_start_from_links(spark):
+    pairs = spark.createDataFrame([(1, 10, [2], 1), (1, 11, [1], 1), (2, 11, [2], 1), (5, 20, [1], 5)], "row_id long, col_id long, gamma array<int>, label long")
+    start = spark.createDataFrame([(1, 10), (2, 11), (5, 20)], "row_id long, col_id long")
+    often = lambda n: 50.0 * n  # noqa: E731  # so likely that links stay
+    args = (pairs, [2], [40, 40], [1, 1], [1, 1], often)
+    trace = mcmc.sample(*args, steps=9, chains=2, start=start).collect()
+    assert sorted(trace) == [(k, i, j, 1, 9) for k in (1, 2) for i, j in ((1, 10), (2, 11), (5, 20))]
+    assert {tuple(x) for x in mcmc.sample_transitions(*args, steps=9, start=start).collect()} == {(1, 1, 0), (1, 5, 0)}
+    never = lambda n: -500.0 * n
+    assert mcmc.sample(pairs, [2], [40, 40], [1, 1], [1, 1], never, steps=60, start=start, kernel="uniform").where("stop = 60").count() == 0
+    moved = {x["label"]: x["n"] for x in mcmc.sample_transitions(pairs, [2], [40, 40], [1, 1], [1, 1], never, steps=60, start=start).collect()}
+    assert moved[5] == 1 and moved[1] >= 2
+    outside = spark.createDataFrame([(2, 10)], "row_id long, col_id long")
+    with pytest.raises(Exception, match="start links"):
+        mcmc.sample(*args, steps=2, start=outside).collect()
+    assert mcmc.sample(*args, steps=3, start=outside, missing=0.0).count() > 0
+    assert mcmc.sample(pairs.limit(0), [2], [0, 0], [1, 1], [1, 1], often, steps=3).count() == 0
+
+
+def test_assign_edges(spark):
+    weights = spark.createDataFrame([(1, 1, 2.0), (1, 1, 3.0), (1, 2, 2.5), (2, 1, 2.0), (2, 2, float("inf")), (3, 2, float("inf")), (None, 3, 1.0), (4, None, 1.0), (5, 5, None), (6, 6, -1.0)], "row_id long, col_id long, w double")
+    for solver in ("hungarian", "auction"):
+        found = {(x["row_id"], x["col_id"], x["w"]) for x in linkage.assign(weights, solver).collect()}
+        assert (1, 1, 3.0) in found and len(found) == 2 and sum(x[2] == float("inf") for x in found) == 1
+        assert linkage.assign(weights.limit(0), solver).count() == 0
