@@ -103,31 +103,41 @@ def solve_hungarian(n: int, m: int, r: np.ndarray, c: np.ndarray, w: np.ndarray)
     return [(i, j) for i, j in enumerate(of_row) if j < m]
 
 
-def solve_auction(n: int, m: int, r: np.ndarray, c: np.ndarray, w: np.ndarray, tol: float = 1e-9, scale: float = 0.2) -> list[tuple[int, int]]:
-    """As ``solve_hungarian``, by an auction with falling increments; the total is within ``tol`` of the best."""
+def solve_auction(n: int, m: int, r: np.ndarray, c: np.ndarray, w: np.ndarray, tol: float = 1e-7, scale: float = 0.2, price: list[float] | None = None) -> list[tuple[int, int]]:
+    """As ``solve_hungarian``, by an auction with falling increments; the total is within ``tol`` of the best (1e-10 a row or column if that is more).
+
+    Each row may also take a place of its own, each column's bidder that column or the place of a row with an edge
+    to it, all for 0.  So all bidders can be placed at once, and any prices (of columns, then of rows' places) are right to
+    start with: a phase goes on from those before, and ``price``, if given, is read and left as it ends.
+    """
     w = _finite(w)
-    order = np.argsort(r, kind="stable")
-    cut = np.searchsorted(r[order], np.arange(n + 1))
-    near = [(np.append(c[k], m + i), np.append(w[k], 0.0)) for i in range(n) for k in [order[cut[i] : cut[i + 1]]]]
-    price, eps, last = np.zeros(m + n), max(float(w.max(initial=0.0)) * scale, tol), max(tol / max(n, 1), 1e-12)
+    near: list[list[tuple[int, float]]] = [[(m + i, 0.0)] for i in range(n)] + [[(j, 0.0)] for j in range(m)]
+    for i, j, x in zip(r.tolist(), c.tolist(), w.tolist()):
+        near[i].append((j, x))
+        near[n + j].append((m + i, 0.0))
+    price = [0.0] * (m + n) if price is None else price
+    last = max(tol / max(n + m, 1), 1e-10)
+    eps = max(float(w.max(initial=0.0)) * scale, last)
     while True:
-        owner, held, todo = np.full(m + n, -1), np.full(n, -1), list(range(n))
+        owner, held, todo = [-1] * (m + n), [-1] * (m + n), list(range(m + n))
         while todo:
             i = todo.pop()
-            at, value = near[i]
-            net = value - price[at]
-            k = int(net.argmax())
-            best, net[k] = net[k], -np.inf
-            second, j = net.max(), at[k]
-            price[j] += (best - second if np.isfinite(second) else 0.0) + eps
-            if owner[j] >= 0:
-                held[owner[j]] = -1
-                todo.append(int(owner[j]))
-            owner[j], held[i] = i, j
+            best = second = -np.inf
+            at = -1
+            for j, x in near[i]:
+                net = x - price[j]
+                if net > best:
+                    best, second, at = net, best, j
+                elif net > second:
+                    second = net
+            price[at] += (best - second if second > -np.inf else 0.0) + eps
+            if owner[at] >= 0:
+                held[owner[at]] = -1
+                todo.append(owner[at])
+            owner[at], held[i] = i, at
         if eps <= last:
-            return [(i, int(j)) for i, j in enumerate(held) if j < m]
-        # with columns that may stay open, prices start anew in each phase
-        price[:], eps = 0.0, max(eps * scale, last)
+            return [(i, j) for i, j in enumerate(held[:n]) if j < m]
+        eps = max(eps * scale, last)
 
 
 def _dense(solve, w: np.ndarray) -> list[tuple[int, int]]:
@@ -145,6 +155,17 @@ def auction(w: np.ndarray) -> list[tuple[int, int]]:
     return _dense(solve_auction, w)
 
 
+def _components(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of single pairs and stars, picked in SQL; and the edges (label, row_id, col_id, w) of all other components."""
+    known = weights.where("w > 0 AND row_id IS NOT NULL AND col_id IS NOT NULL").groupBy("row_id", "col_id").agg(F.max("w").alias("w"))
+    labelled = stage(bipartite_components(known), "assign")
+    sizes = component_sizes(labelled).select("label", (F.least("n_rows", "n_cols") == 1).alias("star"))
+    marked = labelled.join(sizes, "label")
+    best = Window.partitionBy("label").orderBy(F.desc("w"), "row_id", "col_id")
+    stars = marked.where("star").withColumn("k", F.row_number().over(best)).where("k = 1").select("row_id", "col_id", "w")
+    return stars, marked.where("not star").select("label", "row_id", "col_id", "w")
+
+
 def assign(weights: DataFrame, solver: str = "hungarian") -> DataFrame:
     """(row_id, col_id, w) of a one-to-one matching of largest total weight; only positive weights count.
 
@@ -152,11 +173,7 @@ def assign(weights: DataFrame, solver: str = "hungarian") -> DataFrame:
     a solver sees only components with several rows and columns, one at a time, as edges.
     Of repeated pairs the largest weight counts; pairs with a null are left out.
     """
-    labelled = stage(bipartite_components(weights.where("w > 0 AND row_id IS NOT NULL AND col_id IS NOT NULL").groupBy("row_id", "col_id").agg(F.max("w").alias("w"))), "assign")
-    sizes = component_sizes(labelled).select("label", (F.least("n_rows", "n_cols") == 1).alias("star"))
-    marked = labelled.join(sizes, "label")
-    best = Window.partitionBy("label").orderBy(F.desc("w"), "row_id", "col_id")
-    stars = marked.where("star").withColumn("k", F.row_number().over(best)).where("k = 1").select("row_id", "col_id", "w")
+    stars, general = _components(weights)
     solve = {"hungarian": solve_hungarian, "auction": solve_auction}[solver]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +184,36 @@ def assign(weights: DataFrame, solver: str = "hungarian") -> DataFrame:
         found = solve(len(rows), len(cols), r, c, w)
         return pd.DataFrame({"row_id": [rows[i] for i, _ in found], "col_id": [cols[j] for _, j in found], "w": [weight[x] for x in found]}, columns=["row_id", "col_id", "w"])
 
-    general = marked.where("not star").select("label", "row_id", "col_id", "w").groupBy("label").applyInPandas(one, "row_id long, col_id long, w double")
-    return stars.unionByName(general)
+    return stars.unionByName(general.groupBy("label").applyInPandas(one, "row_id long, col_id long, w double"))
+
+
+def assign_recycled(weights: DataFrame, prices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``assign`` by auction, from the prices of an earlier call: the links, and prices (side, id, price) for the next.
+
+    ``side`` is "col" or "row" (the place of a row that stays open).  Prices change how long the auction takes, not the total;
+    0 where none is known.  Components settled without an auction have no prices; both results are staged.
+    """
+    stars, general = _components(weights)
+    if prices is not None:
+        of = lambda side: prices.where(F.col("side") == side).select(F.col("id").alias(f"{side}_id"), F.col("price").alias(f"{side}_price"))
+        general = general.join(of("row"), "row_id", "left").join(of("col"), "col_id", "left")
+    else:
+        general = general.withColumns({"row_price": F.lit(0.0), "col_price": F.lit(0.0)})
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, at_r, r = np.unique(pdf["row_id"], return_index=True, return_inverse=True)
+        cols, at_c, c = np.unique(pdf["col_id"], return_index=True, return_inverse=True)
+        w = pdf["w"].to_numpy()
+        weight = dict(zip(zip(r.tolist(), c.tolist()), w.tolist()))
+        price = pdf["col_price"].fillna(0.0).to_numpy()[at_c].tolist() + pdf["row_price"].fillna(0.0).to_numpy()[at_r].tolist()
+        found = solve_auction(len(rows), len(cols), r, c, w, price=price)
+        out = [("link", rows[i], cols[j], weight[i, j]) for i, j in found]
+        out += [("col", None, j, x) for j, x in zip(cols, price)] + [("row", i, None, x) for i, x in zip(rows, price[len(cols) :])]
+        return pd.DataFrame(out, columns=["side", "row_id", "col_id", "w"]).astype({"row_id": "Int64", "col_id": "Int64"})
+
+    solved = stage(general.groupBy("label").applyInPandas(one, "side string, row_id long, col_id long, w double"), "auction")
+    links = stars.unionByName(solved.where("side = 'link'").drop("side"))
+    return stage(links, "links"), solved.where("side <> 'link'").select("side", F.coalesce("row_id", "col_id").alias("id"), F.col("w").alias("price"))
 
 
 def links_added(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ class Patterned:
         table = self.spark.createDataFrame([([int(v) for v in g], i) for i, g in enumerate(gammas)], "gamma array<int>, pattern long")
         self.pairs = stage(source.join(F.broadcast(table), "gamma").select("row_id", "col_id", "pattern"), "patterned")
         self.total = self.design.T @ self.n
+        self.prices = None
 
     def weights(self, p_m: np.ndarray, p_u: np.ndarray) -> np.ndarray:
         """Of each pattern; -inf or inf where a probability of an observed level is 0, and 0 for a level that neither has."""
@@ -41,7 +42,10 @@ class Patterned:
         w = self.weights(p_m, p_u)
         above = self.spark.createDataFrame([(int(i), float(w[i] - penalty)) for i in np.flatnonzero(w > penalty)], "pattern long, w double")
         weighed = self.pairs.join(F.broadcast(above), "pattern")
-        links = stage(L.assign(weighed.select("row_id", "col_id", "w"), solver), "links")
+        if solver == "recycled":
+            links, self.prices = L.assign_recycled(weighed.select("row_id", "col_id", "w"), self.prices)
+        else:
+            links = stage(L.assign(weighed.select("row_id", "col_id", "w"), solver), "links")
         counts = np.zeros(len(self.n))
         for r in self.pairs.join(links.select("row_id", "col_id"), ["row_id", "col_id"], "left_semi").groupBy("pattern").count().collect():
             counts[r["pattern"]] = r["count"]
@@ -55,7 +59,8 @@ def fit(pairs: DataFrame | Patterned, nlevels: list[int], p_m, p_u, prior_m, pri
     """Alternate the best matching under a penalty and the modes given it, until nothing changes; priors above 1.
 
     ``settle``: "parameters" stops when no mode moves by more than ``tol``, "counts" when the
-    level counts of the links repeat.  ``converged`` tells whether that came before ``max_iter``.
+    level counts of the links repeat.  ``solver``: "hungarian", "auction", or "recycled", an auction that goes on
+    from the prices of the iteration (and fit) before.  ``converged`` tells whether that came before ``max_iter``.
     """
     data = pairs if isinstance(pairs, Patterned) else Patterned(pairs, nlevels)
     p_m, p_u = np.asarray(p_m, dtype=float), np.asarray(p_u, dtype=float)

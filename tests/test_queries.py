@@ -179,6 +179,12 @@ def test_fits_settle_by_counts_too(spark):
     assert a["converged"] and b["converged"] and a["counts"].tolist() == b["counts"].tolist() and np.allclose(a["p_m"], b["p_m"])
 
 
+def test_fits_by_recycled_prices(spark):
+    prior = np.full(7, 1.01)
+    a, b = (search.fit(registry.pairs(spark, SF), registry.NLEVELS, np.concatenate(registry.P_M), np.concatenate(registry.P_U), prior, prior, 1.0, solver=s) for s in ("auction", "recycled"))
+    assert a["converged"] and b["converged"] and a["counts"].sum() == b["counts"].sum() and np.allclose(a["p_m"], b["p_m"])
+
+
 def test_link_constructors_refuse_what_is_not_one_to_one(spark):
     make = lambda *r: spark.createDataFrame(list(r), "row_id long, col_id long")
     for bad in (make((1, 1), (1, 2)), make((1, 1), (2, 1)), make((None, 1)), make((0, 1)), make((1, 9))):
@@ -345,3 +351,16 @@ def test_assign_edges(spark):
         found = {(x["row_id"], x["col_id"], x["w"]) for x in linkage.assign(weights, solver).collect()}
         assert (1, 1, 3.0) in found and len(found) == 2 and sum(x[2] == float("inf") for x in found) == 1
         assert linkage.assign(weights.limit(0), solver).count() == 0
+
+
+def test_recycled_prices_keep_the_total(spark):
+    rng, prices = np.random.default_rng(9), None
+    cells = [(int(i), int(j), float(x)) for i in range(12) for j in range(9) for x in [rng.choice([1.0, 2.0, 2.5, 4.0])] if rng.random() < 0.4]
+    for shift in (0.0, 0.6, 1.5):
+        weights = spark.createDataFrame([(i, j, w - shift) for i, j, w in cells], "row_id long, col_id long, w double")
+        links, prices = linkage.assign_recycled(weights, prices)
+        best = sum(x["w"] for x in linkage.assign(weights).collect())
+        got = links.collect()
+        assert sum(x["w"] for x in got) == pytest.approx(best, abs=1e-6)
+        assert len({x["row_id"] for x in got}) == len({x["col_id"] for x in got}) == len(got)
+    assert {x["side"] for x in prices.collect()} == {"row", "col"}
