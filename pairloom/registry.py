@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom import registry_more
 from pairloom.functions import columns as C
 from pairloom.operators import blocks as B, linkage as L, mcmc, patterns as P
+from pairloom.operators.blocking import Blocked, Field
 from pairloom.plans.staging import new_path, stage
 from pairloom.sources import store
 
@@ -26,17 +27,20 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
+def files(spark: SparkSession, d: str) -> Blocked:
     """Customers and suppliers of one nation (the block), compared by the number in the name and by balance (missing if negative)."""
     number = lambda c: F.regexp_replace(c, "^[^#]*#0*", "")
-    a = _t(spark, d, "customer").select("c_custkey", "c_nationkey", number("c_name").alias("a_no"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("a_bal"))
-    b = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", number("s_name").alias("b_no"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("b_bal"))
-    both = a.join(b, F.col("c_nationkey") == F.col("s_nationkey"))
-    return P.compare(both, "c_custkey", "s_suppkey", [C.ordinal_level(F.col("a_no"), F.col("b_no")), C.distance_level(F.col("a_bal"), F.col("b_bal"), (100.0, 1000.0))])
+    a = _t(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("block"), number("c_name").alias("x0"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("x1"))
+    b = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("col_id"), F.col("s_nationkey").alias("block"), number("s_name").alias("y0"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("y1"))
+    return Blocked(a, b, [Field(C.similarity, C.similarity_level), Field(lambda x, y: F.abs(x - y), lambda gap: C.gap_level(gap, (100.0, 1000.0)))])
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).pairs()
 
 
 def _weights(spark, d, penalty=None):
-    return P.pair_weights(pairs(spark, d), P_M, P_U, penalty)
+    return P.pair_weights(pairs(spark, d) if penalty is None else files(spark, d).above(P_M, P_U, penalty), P_M, P_U, penalty)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -52,7 +56,7 @@ def _trace(spark, d) -> DataFrame:
 
 
 def _em(spark, d):
-    fit = P.estimate_em(P.patterns(pairs(spark, d)), np.concatenate(P_M), np.concatenate(P_U), 0.01, NLEVELS)
+    fit = P.estimate_em(files(spark, d).patterns(), np.concatenate(P_M), np.concatenate(P_U), 0.01, NLEVELS)
     at = [(k + 1, v + 1) for k, n in enumerate(NLEVELS) for v in range(n)]
     return spark.createDataFrame([(f, v, float(m), float(u)) for (f, v), m, u in zip(at, fit["p_m"], fit["p_u"])], "field int, level int, p_m double, p_u double")
 
@@ -60,8 +64,8 @@ def _em(spark, d):
 def _sampled(spark, d, sampler, kernel):
     """Chains over all stored pairs whose row and column share a component; levels are counted over all pairs."""
     nodes = stage(B.labelled_nodes(L.bipartite_components(_weights(spark, d, 1.0))), "nodes")
-    inside = B.inside_blocks(pairs(spark, d), nodes)
-    totals = L._level_vector(P.level_counts(P.patterns(pairs(spark, d)), NLEVELS), NLEVELS)
+    inside = files(spark, d).labelled(nodes).pairs()
+    totals = L._level_vector(P.level_counts(files(spark, d).patterns(), NLEVELS), NLEVELS)
     n = inside.select("row_id").distinct().count()
     return sampler(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2, kernel=kernel)
 
@@ -83,7 +87,8 @@ def _first_links(spark, d, k: int) -> DataFrame:
 
 
 def _same_number(spark, d) -> DataFrame:
-    return pairs(spark, d).where("row_id = col_id").select("row_id", "col_id")
+    rows = files(spark, d).rows
+    return files(spark, d).at(rows.select("row_id", F.col("row_id").alias("col_id")).distinct()).select("row_id", "col_id")
 
 
 _PAIRS = """WITH a AS (SELECT c_custkey, c_nationkey, regexp_replace(c_name, '^[^#]*#0*', '') AS x, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS p FROM customer),
@@ -101,15 +106,15 @@ _COMPONENTS = f"""{_WEIGHTS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     FLAGSHIP: (
-        lambda s, d: P.patterns(pairs(s, d)).select("pattern_id", F.array_join(F.transform("gamma", lambda g: g.cast("string")), "|").alias("gamma"), "n"),
+        lambda s, d: files(s, d).patterns().select("pattern_id", F.array_join(F.transform("gamma", lambda g: g.cast("string")), "|").alias("gamma"), "n"),
         f"{_PAIRS} SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, g1 || '|' || g2 AS gamma, count(*) AS n FROM pairs GROUP BY g1, g2",
     ),
     "level_counts": (
-        lambda s, d: P.level_counts(P.patterns(pairs(s, d)), NLEVELS),
+        lambda s, d: P.level_counts(files(s, d).patterns(), NLEVELS),
         f"{_PAIRS}, v AS (SELECT 1 AS field, unnest(range(1, 5)) AS level UNION ALL SELECT 2, unnest(range(1, 4))) SELECT field, level, (SELECT count(*) FROM pairs WHERE CASE field WHEN 1 THEN g1 ELSE g2 END = level) AS n FROM v",
     ),
     "field_counts": (
-        lambda s, d: P.field_counts(P.patterns(pairs(s, d))),
+        lambda s, d: P.field_counts(files(s, d).patterns()),
         f"{_PAIRS} SELECT 1 AS field, count(*) FILTER (g1 > 0) AS n_obs, count(*) FILTER (g1 = 0) AS n_missing FROM pairs UNION ALL SELECT 2, count(*) FILTER (g2 > 0), count(*) FILTER (g2 = 0) FROM pairs",
     ),
     "pair_weights": (lambda s, d: _rounded(_weights(s, d), "w"), f"{_WEIGHTS} SELECT row_id, col_id, round(w, 6) AS w FROM w"),
@@ -175,13 +180,13 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "stored_summary": (
         lambda s, d: _stored(s, d).select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")), f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs",
     ),
-    "inferred_levels": (lambda s, d: P.infer_nlevels(P.patterns(pairs(s, d))), f"{_PAIRS} SELECT 1 AS field, max(g1) AS nlevels FROM pairs UNION ALL SELECT 2, max(g2) FROM pairs HAVING count(*) > 0"),
+    "inferred_levels": (lambda s, d: P.infer_nlevels(files(s, d).patterns()), f"{_PAIRS} SELECT 1 AS field, max(g1) AS nlevels FROM pairs UNION ALL SELECT 2, max(g2) FROM pairs HAVING count(*) > 0"),
     "pattern_levels": (
-        lambda s, d: P.pattern_levels(P.patterns(pairs(s, d)), NLEVELS),
+        lambda s, d: P.pattern_levels(files(s, d).patterns(), NLEVELS),
         f"{_PAIRS}, p AS (SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, g1, g2 FROM (SELECT DISTINCT g1, g2 FROM pairs)) SELECT pattern_id, g1 AS level_idx FROM p WHERE g1 > 0 UNION ALL SELECT pattern_id, 4 + g2 FROM p WHERE g2 > 0",
     ),
     "pattern_observed": (
-        lambda s, d: P.pattern_observed(P.patterns(pairs(s, d))).select("pattern_id", F.col("observed")[0].alias("o1"), F.col("observed")[1].alias("o2")),
+        lambda s, d: P.pattern_observed(files(s, d).patterns()).select("pattern_id", F.col("observed")[0].alias("o1"), F.col("observed")[1].alias("o2")),
         f"{_PAIRS} SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, (g1 > 0)::INT AS o1, (g2 > 0)::INT AS o2 FROM (SELECT DISTINCT g1, g2 FROM pairs)",
     ),
     "linked_patterns": (
@@ -197,7 +202,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f"{_PAIRS} SELECT row_id, col_id FROM pairs WHERE row_id % 3 = 0 AND (g1 <> 1 OR g2 <> 1)",
     ),
     "maximum_weights": (
-        lambda s, d: _rounded(P.maximum_weights(P.patterns(pairs(s, d)), [(P_M, P_U), (P_U, P_M)]), "w"),
+        lambda s, d: _rounded(P.maximum_weights(files(s, d).patterns(), [(P_M, P_U), (P_U, P_M)]), "w"),
         f"{_PAIRS}, w AS (SELECT row_number() OVER (ORDER BY g1, g2) AS pattern_id, {_CASE} AS w FROM (SELECT DISTINCT g1, g2 FROM pairs)) SELECT pattern_id, round(abs(w), 6) AS w FROM w",
     ),
     "shrunk_weights": (
@@ -208,7 +213,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f'{_PAIRS}, n AS (SELECT max(c_custkey) + 1 AS n FROM customer) SELECT col_id * n + row_id + 1 AS "index", row_id + 1 AS row_back, col_id + 1 AS col_back FROM pairs, n',
     ),
     "weight_midpoints": (
-        lambda s, d: _rounded(P.midpoints(_rounded(P.maximum_weights(P.patterns(pairs(s, d)), [(P_M, P_U)]), "w"), "w"), "mid"),
+        lambda s, d: _rounded(P.midpoints(_rounded(P.maximum_weights(files(s, d).patterns(), [(P_M, P_U)]), "w"), "w"), "mid"),
         f"{_WEIGHTS}, k AS (SELECT DISTINCT round(w, 6) AS w FROM w) SELECT round(mid, 6) AS mid FROM (SELECT (w + lead(w) OVER (ORDER BY w)) / 2 AS mid FROM k) WHERE mid IS NOT NULL",
     ),
     "component_sizes": (
