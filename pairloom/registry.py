@@ -72,7 +72,7 @@ def _sampled(spark, d, sampler, kernel):
 
 def _stored(spark, d):
     path = new_path(spark, "summary")
-    store.write_summary(pairs(spark, d), NLEVELS, path)
+    store.write_summary(pairs(spark, d), NLEVELS, path, pats=files(spark, d).patterns())
     return store.read_summary(spark, path)["pairs"]
 
 
