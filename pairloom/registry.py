@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom import registry_more
 from pairloom.functions import columns as C
 from pairloom.operators import blocks as B, linkage as L, mcmc, patterns as P
-from pairloom.operators.blocking import Blocked, Field
+from pairloom.operators.blocking import Blocked, Field, Folded
 from pairloom.plans.staging import new_path, stage
 from pairloom.sources import store
 
@@ -32,7 +32,7 @@ def files(spark: SparkSession, d: str) -> Blocked:
     number = lambda c: F.regexp_replace(c, "^[^#]*#0*", "")
     a = _t(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("block"), number("c_name").alias("x0"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("x1"))
     b = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("col_id"), F.col("s_nationkey").alias("block"), number("s_name").alias("y0"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("y1"))
-    return Blocked(a, b, [Field(C.similarity, C.similarity_level), Field(lambda x, y: F.abs(x - y), lambda gap: C.gap_level(gap, (100.0, 1000.0)))])
+    return Blocked(a, b, [Field(C.similarity, C.similarity_level, C.similarity_most), Field(lambda x, y: F.abs(x - y), lambda gap: C.gap_level(gap, (100.0, 1000.0)))])
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +43,21 @@ def _weights(spark, d, penalty=None):
     return P.pair_weights(pairs(spark, d) if penalty is None else files(spark, d).above(P_M, P_U, penalty), P_M, P_U, penalty)
 
 
+def folded_edges(spark, d) -> tuple[Folded, DataFrame]:
+    """Folded files, and the pairs of them that weigh more than 1: (row_id, col_id, w, n_row, n_col), w less 1."""
+    folded = Folded(files(spark, d))
+    return folded, folded.counted(P.pair_weights(folded.files.above(P_M, P_U, 1.0), P_M, P_U, 1.0))
+
+
+def _labelled(spark, d) -> DataFrame:
+    folded, edges = folded_edges(spark, d)
+    return folded.expanded(L.bipartite_components(edges)).select("row_id", "col_id", "label")
+
+
+def _sizes(spark, d) -> DataFrame:
+    return L.component_sizes(stage(L.bipartite_components(folded_edges(spark, d)[1]), "labelled"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -131,9 +146,9 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         lambda s, d: P.merge_candidates(pairs(s, d).where("gamma[0] < 4"), pairs(s, d).where("gamma[0] > 2"))[0].select("row_id", "col_id", F.col("gamma")[0].alias("g1"), F.col("gamma")[1].alias("g2")),
         f"{_PAIRS} SELECT row_id, col_id, g1, g2 FROM pairs WHERE g1 < 4 UNION SELECT row_id, col_id, g1, g2 FROM pairs WHERE g1 > 2",
     ),
-    "components": (lambda s, d: L.bipartite_components(_weights(s, d, 1.0)).select("row_id", "col_id", "label"), f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
+    "components": (_labelled, f"{_COMPONENTS} SELECT e.row_id, e.col_id, label FROM e JOIN l ON e.row_id = l.row_id"),
     "component_summary": (
-        lambda s, d: L.summarise(L.component_sizes(L.bipartite_components(_weights(s, d, 1.0)))),
+        lambda s, d: L.summarise(_sizes(s, d)),
         f"""{_COMPONENTS}, z AS (SELECT label, count(DISTINCT e.row_id) AS r, count(DISTINCT col_id) AS c FROM e JOIN l ON e.row_id = l.row_id GROUP BY label)
         SELECT coalesce(sum(r * c), 0)::BIGINT AS n_pairs, coalesce(max(r * c), 0) AS max_pairs, coalesce(max(greatest(r, c)), 0) AS max_side, count(*) AS n_components, count(*) FILTER (r = 1 AND c = 1) AS n_singletons FROM z""",
     ),
@@ -217,7 +232,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f"{_WEIGHTS}, k AS (SELECT DISTINCT round(w, 6) AS w FROM w) SELECT round(mid, 6) AS mid FROM (SELECT (w + lead(w) OVER (ORDER BY w)) / 2 AS mid FROM k) WHERE mid IS NOT NULL",
     ),
     "component_sizes": (
-        lambda s, d: L.component_sizes(L.bipartite_components(_weights(s, d, 1.0))),
+        _sizes,
         f"{_COMPONENTS} SELECT label, count(DISTINCT e.row_id) AS n_rows, count(DISTINCT col_id) AS n_cols, count(*) AS n_edges FROM e JOIN l ON e.row_id = l.row_id GROUP BY label",
     ),
     "links_equal": (lambda s, d: L.links_equal(_links(s, d, 7), _links(s, d, 5)), f'SELECT NOT EXISTS (({_L.format(7)}) EXCEPT ({_L.format(5)})) AND NOT EXISTS (({_L.format(5)}) EXCEPT ({_L.format(7)})) AS "equal"'),
