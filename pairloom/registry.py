@@ -58,6 +58,11 @@ def _sizes(spark, d) -> DataFrame:
     return L.component_sizes(stage(L.bipartite_components(folded_edges(spark, d)[1]), "labelled"))
 
 
+def _assigned(spark, d, solver) -> DataFrame:
+    folded, edges = folded_edges(spark, d)
+    return folded.links(stage(L.flows(edges, solver), "flows"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -153,8 +158,8 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         SELECT coalesce(sum(r * c), 0)::BIGINT AS n_pairs, coalesce(max(r * c), 0) AS max_pairs, coalesce(max(greatest(r, c)), 0) AS max_side, count(*) AS n_components, count(*) FILTER (r = 1 AND c = 1) AS n_singletons FROM z""",
     ),
     "blocks": (lambda s, d: L.blocks(_weights(s, d), 30, 0.5, 1.0), None),
-    "assign_hungarian": (lambda s, d: L.assign(_weights(s, d, 1.0)), None),
-    "assign_auction": (lambda s, d: L.assign(_weights(s, d, 1.0), "auction"), None),
+    "assign_hungarian": (lambda s, d: _assigned(s, d, "hungarian"), None),
+    "assign_auction": (lambda s, d: _assigned(s, d, "auction"), None),
     "em": (_em, None),
     "mcmc_trace": (lambda s, d: _sampled(s, d, mcmc.sample, "barker"), None),
     "mcmc_trace_uniform": (lambda s, d: _sampled(s, d, mcmc.sample, "uniform+gibbs"), None),

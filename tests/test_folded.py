@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,54 @@ def test_cheap_bound(spark):
     both = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     x = both.select(C.similarity(F.col("a"), F.col("b")).alias("s"), C.similarity_most(F.col("a"), F.col("b")).alias("m"))
     assert x.where("(s IS NULL) <> (m IS NULL) OR s > m OR (s = 1) <> (m = 1)").count() == 0
+
+
+@pytest.mark.parametrize("solve", [L.flow_hungarian, L.flow_auction])
+def test_flows_weigh_as_much_as_single_links(solve):
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        rows, cols = ([rng.randint(1, 5) for _ in range(k)] for k in (n, m))
+        edges = {(i, j): rng.choice([0.4, 1.0, 1.7, 3.1]) for i in range(n) for j in range(m) if rng.random() < 0.6}
+        r, c, w = (np.array(x) for x in ([i for i, _ in edges], [j for _, j in edges], list(edges.values())))
+        single = [(a, b, x) for (i, j), x in edges.items() for a in range(sum(rows[:i]), sum(rows[: i + 1])) for b in range(sum(cols[:j]), sum(cols[: j + 1]))]
+        if not single:
+            continue
+        a, b, x = map(np.array, zip(*single))
+        weight = {(p, q): z for p, q, z in single}
+        best = sum(weight[link] for link in L.solve_hungarian(sum(rows), sum(cols), a, b, x))
+        found = solve(n, m, r, c, w, rows, cols)
+        assert sum(edges[i, j] * k for i, j, k in found) == pytest.approx(best, abs=1e-6)
+        assert all(k > 0 for *_, k in found) and len({f[:2] for f in found}) == len(found)
+        assert all(sum(k for i, _, k in found if i == a) <= rows[a] for a in range(n)) and all(sum(k for _, j, k in found if j == b) <= cols[b] for b in range(m))
+
+
+@pytest.mark.parametrize("solver", ["hungarian", "auction"])
+def test_folded_assignment(spark, solver):
+    files = copied(made(spark))
+    folded = Folded(files)
+    want = P.pair_weights(plain(files), P_M, P_U, 1.0).cache()
+    got = folded.links(L.flows(folded.counted(P.pair_weights(folded.files.above(P_M, P_U, 1.0), P_M, P_U, 1.0)), solver)).collect()
+    assert folded.members is not None and len({x["row_id"] for x in got}) == len({x["col_id"] for x in got}) == len(got) > 20
+    weight = {(x["row_id"], x["col_id"]): x["w"] for x in want.collect()}
+    assert all(weight[x["row_id"], x["col_id"]] == x["w"] for x in got)
+    assert sum(x["w"] for x in got) == pytest.approx(sum(x["w"] for x in L.assign(want).collect()), abs=1e-6)
+
+
+def test_many_equal_rows_are_solved_as_one():
+    """Work used to grow with the square of equal rows; here they are 40,000 by 40,000."""
+    r, c = np.divmod(np.arange(9), 3)
+    w = np.array([3.0, 1.0, 2.0, 1.0, 3.0, 2.5, 0.5, 2.0, 1.0])
+    rows, cols = [40000, 100, 7000], [30000, 9000, 5000]
+    for solve in (L.flow_hungarian, L.flow_auction):
+        found = solve(3, 3, r, c, w, rows, cols)
+        assert sum(w[3 * i + j] * k for i, j, k in found) == pytest.approx(3 * 30000 + 2 * 5000 + 3 * 100 + 2 * 7000 + 1 * 1900, abs=1e-4)
+
+
+def test_folded_blocks(spark):
+    files = copied(made(spark))
+    folded, weights = Folded(files), P.pair_weights(plain(files), P_M, P_U).cache()
+    for most in (5, 40, 600):
+        want = L.blocks(weights, most, 0.5, 1.0)
+        got = folded.expanded(L.blocks(folded.counted(P.pair_weights(folded.files.above(P_M, P_U, 0.5), P_M, P_U)), most, 0.5, 1.0))
+        assert got.columns == want.columns and bag(got) == bag(want)
