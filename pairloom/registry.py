@@ -63,6 +63,12 @@ def _assigned(spark, d, solver) -> DataFrame:
     return folded.links(stage(L.flows(edges, solver), "flows"))
 
 
+def _rising_blocks(spark, d) -> DataFrame:
+    folded = Folded(files(spark, d))
+    weighed = folded.counted(P.pair_weights(folded.files.above(P_M, P_U, 0.5), P_M, P_U))
+    return folded.expanded(L.blocks(weighed, 30, 0.5, 1.0))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -157,7 +163,7 @@ _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         f"""{_COMPONENTS}, z AS (SELECT label, count(DISTINCT e.row_id) AS r, count(DISTINCT col_id) AS c FROM e JOIN l ON e.row_id = l.row_id GROUP BY label)
         SELECT coalesce(sum(r * c), 0)::BIGINT AS n_pairs, coalesce(max(r * c), 0) AS max_pairs, coalesce(max(greatest(r, c)), 0) AS max_side, count(*) AS n_components, count(*) FILTER (r = 1 AND c = 1) AS n_singletons FROM z""",
     ),
-    "blocks": (lambda s, d: L.blocks(_weights(s, d), 30, 0.5, 1.0), None),
+    "blocks": (_rising_blocks, None),
     "assign_hungarian": (lambda s, d: _assigned(s, d, "hungarian"), None),
     "assign_auction": (lambda s, d: _assigned(s, d, "auction"), None),
     "em": (_em, None),
