@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from pairloom.plans.local import local_table
 from pairloom.plans.staging import stage
 
 #: Intervals of rank, and how many of them one of the first level holds.
@@ -96,7 +97,7 @@ class _Sources:
 
     def table(self) -> DataFrame:
         names = [x.split()[0].removeprefix("__pl_") for x in _SOURCE.split(", ")]
-        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.known.values()], _SOURCE)
+        return local_table(self.spark, [tuple(r.get(n) for n in names) for r in self.known.values()], _SOURCE)
 
     def learn(self, found: DataFrame, *names: str) -> None:
         """Take the columns ``names`` of ``found``, a row for each __pl_source in question."""

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom.llm.tokens import worker_tokenizer
+from pairloom.plans.local import local_table
 from pairloom.plans.staging import bound_batches, stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -192,7 +193,7 @@ def pack(pieces: DataFrame, capacity: int, cell_rows: int = 200_000) -> DataFram
     table, _ = plan(histogram, capacity)
     total = sum(histogram.values())
     per_cell = min(cell_rows, max(64, total // 1024))
-    cells = spark.createDataFrame([(w, -(-n // per_cell)) for w, n in histogram.items()], "length long, cells long")
+    cells = local_table(spark, [(w, -(-n // per_cell)) for w, n in histogram.items()], "length long, cells long")
     dealt = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.expr("pmod(xxhash64(doc_id, piece, start, ids_crc32), cells)")).drop("cells")
     starts = dealt.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

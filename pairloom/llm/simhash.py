@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.operators.graph import connected_components
+from pairloom.operators.graph import connected_components, contract
 from pairloom.plans.joins import join_groups
 from pairloom.plans.staging import bound_batches, stage
 
@@ -113,11 +113,11 @@ def _links_within(fps: np.ndarray, radius: int, first: int) -> list[tuple[int, i
     return links
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, stars: bool = False) -> DataFrame:
     """(src, dst) links that connect all distinct fingerprints ``fp`` within ``radius`` bits as those links do.
 
     Lists are read in key order, a batch at a time; only the fingerprints of the list
-    at hand are held, 8 bytes for each.
+    at hand are held, 8 bytes for each.  ``stars``: every task returns its links contracted.
     """
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     lists, masks = [], [sum(1 << k for k in positions) for positions in combinations(range(8), 8 - radius)]
@@ -158,14 +158,18 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         if keys:
             yield verified(np.concatenate(keys), np.concatenate(fps))
 
-    return postings.mapInArrow(scan, "src long, dst long")
+    def contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in contract(scan(it)):
+            yield batch.rename_columns(["src", "dst"])
+
+    return postings.mapInArrow(contracted if stars else scan, "src long, dst long")
 
 
 def _members(rows: DataFrame, radius: int) -> DataFrame:
     """Staged ``rows`` (fp, ...), the root of their component, and component_id, the smallest doc_id in it; null if it has none."""
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     size = distinct.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    roots = connected_components(links(distinct.select("fp"), radius))
+    roots = connected_components(links(distinct.select("fp"), radius, stars=True), contracted=True)
     found = stage(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     least = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     member = join_groups(found, least, ["root"], "members", size["fps"]).select("fp", "n", "root", "component_id")
