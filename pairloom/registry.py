@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom import registry_more
-from pairloom.functions import columns as C
+from pairloom.functions import columns as C, levels as V
 from pairloom.operators import blocks as B, linkage as L, mcmc, patterns as P
 from pairloom.operators.blocking import Blocked, Field, Folded
 from pairloom.plans.staging import new_path, stage
@@ -32,7 +32,7 @@ def files(spark: SparkSession, d: str) -> Blocked:
     number = lambda c: F.regexp_replace(c, "^[^#]*#0*", "")
     a = _t(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("block"), number("c_name").alias("x0"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("x1"))
     b = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("col_id"), F.col("s_nationkey").alias("block"), number("s_name").alias("y0"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("y1"))
-    return Blocked(a, b, [Field(C.similarity, C.similarity_level, C.similarity_most), Field(lambda x, y: F.abs(x - y), lambda gap: C.gap_level(gap, (100.0, 1000.0)))])
+    return Blocked(a, b, [Field(C.similarity, C.similarity_level, C.similarity_most, V.Similar()), Field(lambda x, y: F.abs(x - y), lambda gap: C.gap_level(gap, (100.0, 1000.0)), grid=V.Near((100.0, 1000.0)))])
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
