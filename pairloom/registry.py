@@ -89,10 +89,11 @@ def _em(spark, d):
 
 def _sampled(spark, d, sampler, kernel):
     """Chains over all stored pairs whose row and column share a component; levels are counted over all pairs."""
-    nodes = stage(B.labelled_nodes(L.bipartite_components(_weights(spark, d, 1.0))), "nodes")
-    inside = files(spark, d).labelled(nodes).pairs()
+    folded, edges = folded_edges(spark, d)
+    nodes = stage(folded.nodes(L.bipartite_nodes(edges)), "nodes")
+    inside = files(spark, d).labelled(nodes)
     totals = L._level_vector(P.level_counts(files(spark, d).patterns(), NLEVELS), NLEVELS)
-    n = inside.select("row_id").distinct().count()
+    n = nodes.where("side = 'row'").select("id").distinct().count()
     return sampler(inside, NLEVELS, totals, np.ones(7), np.ones(7), [C.exppenalty_logprior(k, 1.0) for k in range(n + 2)], steps=200, chains=2, kernel=kernel)
 
 
